@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import Column, DataFrame
@@ -94,20 +94,40 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(float(evaluator.evaluate(df)),)], "auc_roc double")
 
 
-def model_report(df: DataFrame, model_name: str, metrics: Mapping[str, Column], features: int) -> DataFrame:
-    """One evaluation record: name, metrics map, time, and test size with feature count.
+def model_report(df: DataFrame, model_name: str, actual: str, predicted: str, features: int) -> DataFrame:
+    """Evaluation record of a regressor: name, metrics map, time, test size and feature count.
 
-    ``metrics`` are aggregate expressions, so the record costs one pass over ``df``.
+    Everything comes from one aggregation of the predictions.
     """
-    entries = [part for name, column in metrics.items() for part in (F.lit(name), column.cast("double"))]
-    info = F.create_map(
-        F.lit("test_size"), F.count(F.lit(1)), F.lit("features"), F.lit(features).cast("long")
+    measures = regression_measures(actual, predicted)
+    entries = [part for name, column in measures.items() for part in (F.lit(name), column)]
+    facts = df.agg(F.create_map(*entries).alias("metrics"), F.count(F.lit(1)).alias("test_size"))
+    return _record(facts, model_name, features)
+
+
+def classifier_report(
+    df: DataFrame, model_name: str, label: str, predicted: str, score: str, features: int
+) -> DataFrame:
+    """Evaluation record of a classifier: auc_roc, accuracy, precision, recall, f1 and spike_rate."""
+    measured = {
+        **roc_auc(df, label, score).first().asDict(),
+        **classification_metrics(df, label, predicted).first().asDict(),
+    }
+    rate = F.coalesce(F.avg(F.when(F.col(label) == 1, 1.0).otherwise(0.0)), F.lit(0.0))
+    entries = [part for name, value in measured.items() for part in (F.lit(name), F.lit(value).cast("double"))]
+    facts = df.agg(
+        F.create_map(*entries, F.lit("spike_rate"), rate).alias("metrics"), F.count(F.lit(1)).alias("test_size")
     )
-    return df.agg(F.create_map(*entries).alias("metrics"), info.alias("data_info")).select(
+    return _record(facts, model_name, features)
+
+
+def _record(facts: DataFrame, model_name: str, features: int) -> DataFrame:
+    sizes = F.create_map(F.lit("test_size"), F.col("test_size"), F.lit("features"), F.lit(features).cast("long"))
+    return facts.select(
         F.lit(model_name).alias("model_name"),
         "metrics",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        "data_info",
+        sizes.alias("data_info"),
     )
 
 

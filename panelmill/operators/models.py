@@ -12,7 +12,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.operators.series import with_series_columns
+from panelmill.operators.sampling import split_by_time
+from panelmill.operators.series import lags, with_series_columns
 from panelmill.runtime import materialize, shared_dir
 
 # Hyper-parameters, seed, and the half-width parts of the interval.
@@ -160,6 +161,7 @@ def forecast_horizon(
     target: str = "Load_MW",
     entity: str = "Name",
     ts: str = "timestamp",
+    ties: Sequence[str] = (),
     grain: str = "hour",
     train_share: float = 0.8,
     **hyper: object,
@@ -169,11 +171,9 @@ def forecast_horizon(
     Returns (ts, entity, horizon, actual, predicted) for the rows after the
     training span; ``actual`` is NULL where the future is not in the panel.
     """
-    from panelmill.operators.sampling import split_by_time
-
-    ahead = lambda w: {f"_ahead_{h}": F.lag(target, h).over(w) for h in horizons}
+    ahead = lags(target, horizons, name=lambda h: f"_ahead_{h}")
     labelled = with_series_columns(
-        panel, [ahead], reach=max(horizons), entity=entity, ts=ts, grain=grain, backwards=True
+        panel, [ahead], reach=max(horizons), entity=entity, ts=ts, ties=ties, grain=grain, backwards=True
     )
     labelled = materialize(labelled, "horizons")
     train, test = split_by_time(labelled, ts=ts, train_share=train_share)

@@ -22,26 +22,38 @@ SKETCH_ACCURACY = 10_000
 STRIPES = 1024
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    named: Mapping[str, float],
+    *,
+    alongside: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """One row per key with a linearly interpolated percentile per entry of ``named``.
 
-    Nulls are ignored; a key without values is absent.  ``keys`` may be empty
-    for percentiles of the whole column.
+    Nulls and NaN are ignored; a key without values gets NULL.  ``keys`` may be
+    empty for percentiles of the whole column.  ``alongside`` adds ordinary
+    aggregates of ``df``, computed in the first pass.
     """
+    alongside = dict(alongside or {})
     groups = [f"_g{i}" for i in range(len(keys))]
-    values = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], F.col(value).cast("double").alias("x"))
-    values = values.where(F.col("x").isNotNull() & ~F.isnan("x"))
+    x = F.col(value).cast("double")
+    usable = F.when(~F.isnan(x), x)
 
     slack = 2.0 / SKETCH_ACCURACY
     probes = sorted({min(1.0, max(0.0, p + side)) for p in named.values() for side in (-slack, slack)})
-    sketch = values.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-        F.percentile_approx("x", probes, SKETCH_ACCURACY).alias("cuts"),
+    sketch = df.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, groups)]).agg(
+        F.count(usable).alias("n"),
+        F.min(usable).alias("low"),
+        F.max(usable).alias("high"),
+        F.percentile_approx(usable, probes, SKETCH_ACCURACY).alias("cuts"),
+        *[column.alias(name) for name, column in alongside.items()],
     )
     sketch = materialize(sketch, "sketch")
-    located = _beside(values, sketch, groups, ["low", "high", "cuts"])
+
+    values = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], usable.alias("x"))
+    located = _beside(values.where(F.col("x").isNotNull()), sketch, groups, ["low", "high", "cuts"])
     located = located.select(*groups, "x", _slot(len(probes)).alias("slot"))
 
     # At most (len(probes) + 1) * STRIPES rows per key: bounded whatever the key holds.
@@ -56,14 +68,19 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, named: Map
     )
     upto = F.sum("copies").over(W.partitionBy(*groups, "slot").orderBy("x"))
     steps = inside.withColumn("past", F.col("skipped") + upto).withColumn("first", F.col("past") - F.col("copies"))
-    result = steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
-    return result.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *named)
+    found = steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
+    if not keys:
+        return _beside(found, sketch, [], list(alongside)).select(*alongside, *named)
+    result = attach(sketch.select(*groups, *alongside), found, groups, how="left")
+    return result.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *named)
 
 
 def _beside(df: DataFrame, sketch: DataFrame, groups: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Sketch fields next to each row: by key, or as a scalar where there is no key."""
     if groups:
         return attach(df, sketch.select(*groups, *fields), groups, stored=True)
+    if not fields:
+        return df
     only = sketch.select(F.struct(*fields).alias("only")).scalar()
     return df.withColumns({f: only.getField(f) for f in fields})
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.quantiles import exact_percentiles
-from panelmill.runtime import attach
 
 PRICE, LOAD, ENTITY = "LBMP_avg", "Load_MW", "Name"
 
@@ -26,20 +25,21 @@ def register_feeds(price: DataFrame, load: DataFrame) -> None:
 def price_stats(spark: SparkSession) -> DataFrame:
     """Per-zone price statistics of the ``prices`` view, highest average first.
 
-    The median is exact but computed by rank counting: the SQL ``percentile``
-    holds all values of a zone in one buffer.
+    The median is exact, but found by counting ranks: SQL ``percentile`` would
+    hold all values of a zone in one buffer.  The plain statistics ride along
+    with its first pass.
     """
-    stats = spark.sql(
-        """
-        SELECT Name AS Zone, COUNT(*) AS Records,
-               ROUND(AVG(LBMP), 2) AS Avg_Price, ROUND(MIN(LBMP), 2) AS Min_Price,
-               ROUND(MAX(LBMP), 2) AS Max_Price, ROUND(STDDEV(LBMP), 2) AS Std_Dev
-        FROM prices GROUP BY Name
-        """
-    )
-    medians = exact_percentiles(spark.table("prices"), ["Name"], "LBMP", {"median": 0.5})
-    medians = medians.select(F.col("Name").alias("Zone"), F.round("median", 2).alias("Median_Price"))
-    return attach(stats, medians, ["Zone"], how="left").orderBy(F.desc("Avg_Price"), "Zone")
+    plain = {
+        "Records": F.count(F.lit(1)),
+        "Avg_Price": F.round(F.avg("LBMP"), 2),
+        "Min_Price": F.round(F.min("LBMP"), 2),
+        "Max_Price": F.round(F.max("LBMP"), 2),
+        "Std_Dev": F.round(F.stddev("LBMP"), 2),
+    }
+    zones = exact_percentiles(spark.table("prices"), ["Name"], "LBMP", {"median": 0.5}, alongside=plain)
+    return zones.select(
+        F.col("Name").alias("Zone"), *plain, F.round("median", 2).alias("Median_Price")
+    ).orderBy(F.desc("Avg_Price"), "Zone")
 
 
 def load_stats(spark: SparkSession) -> DataFrame:
@@ -246,14 +246,40 @@ def corr_by(df: DataFrame, key: str, x: str = LOAD, y: str = PRICE) -> DataFrame
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All pairwise correlations from one pass, as rows (x, y, r)."""
-    pairs = list(product(columns, repeat=2))
-    upper = [(a, b) for a, b in pairs if columns.index(a) <= columns.index(b)]
+    """All pairwise correlations over complete pairs, as rows (x, y, r); NULL for constant columns.
+
+    One pass takes means, extremes and null counts (a single row), a second sums
+    the products of the centred columns.  Only where a column has nulls does
+    every pair need aggregates of its own.
+    """
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    row = doubles.agg(*[pearson(a, b).alias(f"{a}~{b}") for a, b in upper])
+    facts = doubles.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.min(c) < F.max(c)).alias("varies")).alias(c)
+            for c in columns
+        ],
+    ).first()
+    upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    if all(facts[c]["n"] == facts["rows"] for c in columns):
+        varying = {c: F.col(c) - F.lit(facts[c]["mean"]) for c in columns if facts[c]["varies"]}
+        used = [(a, b) for a, b in upper if a in varying and b in varying]
+        row = doubles.agg(*[F.sum(varying[a] * varying[b]).alias(f"{a}~{b}") for a, b in used], F.lit(1))
+
+        def correlation(a: str, b: str) -> Column:
+            if (a, b) not in used:
+                return F.lit(None).cast("double")
+            own_a, own_b = F.col(f"`{a}~{a}`"), F.col(f"`{b}~{b}`")
+            return F.col(f"`{a}~{b}`") / F.sqrt(own_a * own_b)
+
+    else:
+        row = doubles.agg(*[pearson(a, b).alias(f"{a}~{b}") for a, b in upper])
+
+        def correlation(a: str, b: str) -> Column:
+            return F.col(f"`{a}~{b}`")
 
     def cell(a: str, b: str) -> Column:
-        name = f"{a}~{b}" if (a, b) in upper else f"{b}~{a}"
-        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{name}`").alias("r"))
+        ordered = (a, b) if (a, b) in upper else (b, a)
+        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), correlation(*ordered).alias("r"))
 
-    return row.select(F.inline(F.array(*[cell(a, b) for a, b in pairs])))
+    return row.select(F.inline(F.array(*[cell(a, b) for a, b in product(columns, repeat=2)])))

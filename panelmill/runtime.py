@@ -32,8 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; never reused, so nothing is overwritten."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; never reused, so nothing is overwritten.
+
+    Paths are grouped by application, so a finished application's tables can be
+    removed together.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/panelmill-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

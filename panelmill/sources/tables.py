@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +36,12 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def write_panel(df: DataFrame, path: str, *, partition_by: Sequence[str] = ("year", "month")) -> None:
     """Overwrite a Parquet panel, partitioned so that readers prune by calendar.
 
-    Rows are first gathered by partition value plus entity, which keeps the file
-    count at partitions x entities' hash buckets instead of tasks x partitions,
-    without sending a whole month to one task.
+    Rows are first hashed by partition value and entity: that bounds the number
+    of files per calendar partition by the entities, without sending a whole
+    month through one task.
     """
     spread = [c for c in (*partition_by, "Name") if c in df.columns]
-    out = df.repartition(*spread) if spread else df
-    out.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    df.repartition(*spread).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str, *, ts: str = "hour_timestamp", entity: str = "Name") -> None:
@@ -49,10 +49,16 @@ def write_predictions(df: DataFrame, path: str, *, ts: str = "hour_timestamp", e
     df.select(ts, entity, *PREDICTION_COLUMNS).write.mode("overwrite").parquet(path)
 
 
-def write_history(history: DataFrame, path: str) -> None:
-    """Overwrite the evaluation history as JSON lines, one record per line."""
+def write_history(history: DataFrame, folder: str, name: str | None = None) -> str:
+    """Overwrite an evaluation history as JSON, one record per line; returns its path.
+
+    The default name is ``results_{yyyymmdd_hhmmss}.json``.
+    """
+    path = f"{folder}/{name or datetime.now().strftime('results_%Y%m%d_%H%M%S.json')}"
     history.write.mode("overwrite").json(path)
+    return path
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).json(path)
+def read_history(spark: SparkSession, path: str, *, one_array: bool = False) -> DataFrame:
+    """Read an evaluation history; ``one_array`` for a file holding a single JSON array."""
+    return spark.read.schema(HISTORY_SCHEMA).json(path, multiLine=one_array)

@@ -666,7 +666,13 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
         "actual_vs_predicted": sampled(feats, "naive", ["LBMP_avg", "predicted_price"]),
         "model_report": plain(feats, history()),
         "scan_metrics_json": plain(feats, history()),
-        "sink_metrics_json": "SELECT CAST(2 AS BIGINT) AS records",
+        "sink_metrics_json": plain(
+            feats,
+            "\nUNION ALL\n".join(
+                f"SELECT '{p}' AS model_name, count(*) AS test_size FROM naive"
+                for p in ("LBMP_avg_lag_1", "LBMP_avg_lag_24")
+            ),
+        ),
         "compare_models": plain(
             feats,
             "\nUNION ALL\n".join(

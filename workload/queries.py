@@ -12,6 +12,7 @@ from panelmill.functions.columns import calendar, parse_wall_clock
 from panelmill.operators import cleaning, metrics, models, reports, rollup, sampling
 from panelmill.operators import features as feat
 from panelmill.operators.series import change, lags, rolling, with_series_columns
+from panelmill.plans.modelling import fit_models, predictions_table
 from panelmill.plans.panels import extended_panel, featured_panel, flat_panel, processed_panel
 from panelmill.runtime import materialize, scratch_path
 from panelmill.sources import feeds as vendor
@@ -353,7 +354,7 @@ def rolling_blocks(spark, sf_dir):
     panel = materialize(daily_panel(spark, sf_dir).select(*KEYS, "PTID", "LBMP_avg", "Load_MW"), "panel")
     specs = [rolling("LBMP_avg"), lags("Load_MW")]
     return settled(
-        with_series_columns(panel, specs, reach=168, ties=["PTID"], grain="day", block_rows=400)
+        with_series_columns(panel, specs, reach=168, ties=["PTID"], grain="day", block_rows=200)
     )
 
 
@@ -567,7 +568,7 @@ def split_hash(spark, sf_dir):
 
 @query
 def split_time(spark, sf_dir):
-    train, test = sampling.split_by_time(hourly_panel(spark, sf_dir).select(*KEYS))
+    train, test = sampling.split_by_time(materialize(hourly_panel(spark, sf_dir).select(*KEYS), "panel"))
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -613,7 +614,7 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
         naive_predictions(spark, sf_dir).select("LBMP_avg", "LBMP_avg_lag_1", "LBMP_avg_lag_24"), "predictions"
     )
     records = [
-        metrics.model_report(df, name, metrics.regression_measures("LBMP_avg", name), 1)
+        metrics.model_report(df, name, "LBMP_avg", name, 1)
         for name in ("LBMP_avg_lag_1", "LBMP_avg_lag_24")
     ]
     return metrics.append_history(records)
@@ -643,15 +644,13 @@ def compare_models(spark, sf_dir):
 
 @query
 def sink_metrics_json(spark, sf_dir):
-    path = scratch_path(spark, "history")
-    tables.write_history(_history(spark, sf_dir), path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("records"))
+    path = tables.write_history(_history(spark, sf_dir), scratch_path(spark, "history"))
+    return spark.read.json(path).select("model_name", F.col("data_info.test_size").alias("test_size"))
 
 
 @query
 def scan_metrics_json(spark, sf_dir):
-    path = scratch_path(spark, "history")
-    tables.write_history(_history(spark, sf_dir), path)
+    path = tables.write_history(_history(spark, sf_dir), scratch_path(spark, "history"))
     return _history_rows(tables.read_history(spark, path))
 
 
@@ -706,17 +705,29 @@ def ml_score_all(spark, sf_dir):
     """Three models over one flat panel: the combined predictions table without a join."""
     df = materialize(flat_features(spark, sf_dir), "features")
     train, test = sampling.split_by_hash(df, keys=["hour_timestamp", "Name"])
-    fitted = [
-        models.fit(train, feat.FLAT_FEATURES["price"], models.price_regressor(**SMALL_BOOST)),
-        models.fit(
-            train, feat.FLAT_FEATURES["demand"], models.demand_regressor(prediction="predicted_load", **SMALL_BOOST)
-        ),
-        models.fit(train, feat.FLAT_FEATURES["spike"], models.spike_classifier(**SMALL_FOREST)),
-    ]
-    scored = models.score_all(fitted, test)
+    fitted = fit_models(train, feat.FLAT_FEATURES, boost=SMALL_BOOST, forest=SMALL_FOREST)
+    scored = predictions_table(fitted, test)
     return scored.select("hour_timestamp", "Name", *tables.PREDICTION_COLUMNS)
 
 
+@query
+def ml_reports(spark, sf_dir):
+    """Evaluation records of a fitted regressor and a fitted classifier."""
+    train, test = _split_features(spark, sf_dir)
+    names = {t: feat.feature_columns(t, leak_free=True) for t in ("price", "spike")}
+    fitted = fit_models(train, names, boost=SMALL_BOOST, forest=SMALL_FOREST)
+    scored = materialize(predictions_table(fitted, test), "predictions")
+    history = metrics.append_history(
+        [
+            metrics.model_report(scored, "price_predictor", "LBMP_avg", "predicted_price", len(names["price"])),
+            metrics.classifier_report(
+                scored, "spike_detector", "is_price_spike", "predicted_spike", "spike_probability", len(names["spike"])
+            ),
+        ]
+    )
+    return _history_rows(history)
+
+
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _split_features(spark, sf_dir)
     names = feat.feature_columns("price", leak_free=True)
