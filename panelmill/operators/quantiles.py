@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmill.runtime import attach, materialize
+from panelmill.runtime import attach, store
 
 SKETCH_ACCURACY = 10_000
 STRIPES = 1024
@@ -50,16 +50,16 @@ def exact_percentiles(
         F.percentile_approx(usable, probes, SKETCH_ACCURACY).alias("cuts"),
         *[column.alias(name) for name, column in alongside.items()],
     )
-    sketch = materialize(sketch, "sketch")
+    sketch, rows = store(sketch, "sketch")
 
     values = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], usable.alias("x"))
-    located = _beside(values.where(F.col("x").isNotNull()), sketch, groups, ["low", "high", "cuts"])
+    located = _beside(values.where(F.col("x").isNotNull()), sketch, rows, groups, ["low", "high", "cuts"])
     located = located.select(*groups, "x", _slot(len(probes)).alias("slot"))
 
     # At most (len(probes) + 1) * STRIPES rows per key: bounded whatever the key holds.
     sizes = located.groupBy(*groups, "slot").agg(F.count(F.lit(1)).alias("size"))
     upto = F.sum("size").over(W.partitionBy(*groups).orderBy("slot"))
-    ranked = _beside(sizes.withColumn("skipped", upto - F.col("size")), sketch, groups, ["n"])
+    ranked = _beside(sizes.withColumn("skipped", upto - F.col("size")), sketch, rows, groups, ["n"])
     holds = F.exists(_ranks(named), lambda r: (r >= F.col("skipped")) & (r < F.col("skipped") + F.col("size")))
     wanted = ranked.where(holds).select(*groups, "slot", "skipped", "n")
 
@@ -70,15 +70,19 @@ def exact_percentiles(
     steps = inside.withColumn("past", F.col("skipped") + upto).withColumn("first", F.col("past") - F.col("copies"))
     found = steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
     if not keys:
-        return _beside(found, sketch, [], list(alongside)).select(*alongside, *named)
-    result = attach(sketch.select(*groups, *alongside), found, groups, how="left")
+        return _beside(found, sketch, rows, [], list(alongside)).select(*alongside, *named)
+    every = sketch.select(*groups, *alongside).alias("every")
+    keyed = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
+    result = every.join(found.alias("found"), keyed, "left").select("every.*", *named)
     return result.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *named)
 
 
-def _beside(df: DataFrame, sketch: DataFrame, groups: Sequence[str], fields: Sequence[str]) -> DataFrame:
+def _beside(
+    df: DataFrame, sketch: DataFrame, rows: int, groups: Sequence[str], fields: Sequence[str]
+) -> DataFrame:
     """Sketch fields next to each row: by key, or as a scalar where there is no key."""
     if groups:
-        return attach(df, sketch.select(*groups, *fields), groups, stored=True)
+        return attach(df, sketch.select(*groups, *fields), groups, rows=rows)
     if not fields:
         return df
     only = sketch.select(F.struct(*fields).alias("only")).scalar()

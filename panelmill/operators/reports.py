@@ -225,13 +225,8 @@ def median_of(df: DataFrame, value: str) -> DataFrame:
 def box_stats(df: DataFrame, by: str, measures: Sequence[str] = (LOAD, PRICE)) -> DataFrame:
     """Minimum, quartiles and maximum of each measure per group, in long form."""
     names = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
-    stats = [
-        exact_percentiles(df, [by], m, names).select(by, F.lit(m).alias("measure"), *names) for m in measures
-    ]
-    result = stats[0]
-    for more in stats[1:]:
-        result = result.unionByName(more)
-    return result
+    cells = [F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]
+    return exact_percentiles(df.select(by, F.inline(F.array(*cells))), [by, "measure"], "value", names)
 
 
 def pearson(x: str, y: str) -> Column:

@@ -85,7 +85,7 @@ def with_series_columns(
     cells = _block_layout(df, entity, _cell(F.col(ts), grain), reach, backwards, block_rows)
     if cells.isEmpty():
         # Measured: no series exceeds block_rows, whole-series windows are bounded.
-        return df.withColumns(_evaluate(specs, W.partitionBy(entity).orderBy(*order)))
+        return _spread(df, entity).withColumns(_evaluate(specs, W.partitionBy(entity).orderBy(*order)))
 
     keyed = df.withColumn("_cell", _cell(F.col(ts), grain))
     placed = attach(keyed, cells.withColumnRenamed("_entity", entity), [entity, "_cell"], how="left")
@@ -93,7 +93,18 @@ def with_series_columns(
         *df.columns, F.posexplode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("_copy", "_block")
     )
     window = W.partitionBy(entity, "_block").orderBy(*order)
-    return copies.withColumns(_evaluate(specs, window)).where(F.col("_copy") == 0).drop("_copy", "_block")
+    columns = _spread(copies, entity, "_block").withColumns(_evaluate(specs, window))
+    return columns.where(F.col("_copy") == 0).drop("_copy", "_block")
+
+
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle by the window key into all shuffle partitions.
+
+    The exchange the window needs anyway, but with a fixed partition count:
+    adaptive execution would merge partitions by bytes, while sliding frames
+    cost far more time per byte than a scan.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def _evaluate(specs: Sequence[Spec], window: WindowSpec) -> dict[str, Column]:

@@ -54,19 +54,25 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store(df: DataFrame, label: str = "table") -> tuple[DataFrame, int]:
+    """A materialized table and its row count, which file footers answer."""
+    table = materialize(df, label)
+    return table, table.count()
+
+
 def attach(
-    df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", *, stored: bool = False
+    df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", *, rows: int | None = None
 ) -> DataFrame:
     """Join a derived side onto a large frame, null keys matching null keys.
 
-    The side is written (unless ``stored`` says it already is) and counted
-    first: within ``BROADCAST_ROWS`` it is broadcast, so a hot key of ``df`` is
-    never shuffled; beyond the bound the join is left to Spark (sort-merge, with
-    adaptive skew splitting).
+    The side is stored and counted first, unless ``rows`` tells the size of a
+    side that already is: within ``BROADCAST_ROWS`` it is broadcast, so a hot
+    key of ``df`` is never shuffled; beyond the bound the join is left to Spark
+    (sort-merge, with adaptive skew splitting).
     """
-    if not stored:
-        side = materialize(side, "side")
-    if side.count() <= BROADCAST_ROWS:
+    if rows is None:
+        side, rows = store(side, "side")
+    if rows <= BROADCAST_ROWS:
         side = F.broadcast(side)
     left, right = df.alias("wide"), side.alias("side")
     matched = [F.col(f"wide.{_quoted(k)}").eqNullSafe(F.col(f"side.{_quoted(k)}")) for k in keys]

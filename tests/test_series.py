@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,7 +72,7 @@ def test_blocks_equal_whole_series(spark, block_rows):
     same(with_series_columns(df, specs(24), reach=24, block_rows=block_rows), plain(df, 24))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, database=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     gaps=st.lists(st.integers(1, 900), min_size=1, max_size=120),
     reach=st.integers(1, 12),

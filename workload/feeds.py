@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.regexp_extract("props", r'"k": *(\d+)', 1).try_cast("int")
     ptid = (F.lit(61000) + F.ascii("event_type")).cast("int")
     return table(spark, sf_dir, "events").withColumns({"k": k, "PTID": ptid})
 

@@ -542,7 +542,8 @@ def corr_by_month(spark, sf_dir):
 
 @query
 def corr_matrix(spark, sf_dir):
-    return settled(reports.corr_matrix(flat_features(spark, sf_dir), CORR_COLUMNS))
+    df = materialize(flat_features(spark, sf_dir).select(*CORR_COLUMNS), "features")
+    return settled(reports.corr_matrix(df, CORR_COLUMNS))
 
 
 # --- previews, samples, splits ------------------------------------------------
