@@ -108,17 +108,27 @@ def model_report(df: DataFrame, model_name: str, actual: str, predicted: str, fe
 def classifier_report(
     df: DataFrame, model_name: str, label: str, predicted: str, score: str, features: int
 ) -> DataFrame:
-    """Evaluation record of a classifier: auc_roc, accuracy, precision, recall, f1 and spike_rate."""
-    measured = {
-        **roc_auc(df, label, score).first().asDict(),
-        **classification_metrics(df, label, predicted).first().asDict(),
-    }
-    rate = F.coalesce(F.avg(F.when(F.col(label) == 1, 1.0).otherwise(0.0)), F.lit(0.0))
+    """Evaluation record of a classifier: auc_roc, accuracy, precision, recall, f1 and spike_rate.
+
+    The three needed columns are cached meanwhile, so the model scores once.
+    """
+    scored = df.select(label, predicted, score).cache()
+    try:
+        measured = {
+            **roc_auc(scored, label, score).first().asDict(),
+            **classification_metrics(scored, label, predicted).first().asDict(),
+        }
+        size = F.count(F.lit(1)).alias("test_size")
+        share = F.coalesce(F.avg(F.when(F.col(label) == 1, 1.0).otherwise(0.0)), F.lit(0.0)).alias("rate")
+        facts = scored.agg(size, share).first()
+    finally:
+        scored.unpersist()
+    measured["spike_rate"] = facts["rate"]
     entries = [part for name, value in measured.items() for part in (F.lit(name), F.lit(value).cast("double"))]
-    facts = df.agg(
-        F.create_map(*entries, F.lit("spike_rate"), rate).alias("metrics"), F.count(F.lit(1)).alias("test_size")
+    one = df.sparkSession.range(1).select(
+        F.create_map(*entries).alias("metrics"), F.lit(facts["test_size"]).cast("long").alias("test_size")
     )
-    return _record(facts, model_name, features)
+    return _record(one, model_name, features)
 
 
 def _record(facts: DataFrame, model_name: str, features: int) -> DataFrame:
