@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 
 def absolute_error(actual: str, predicted: str) -> Column:
-    return F.abs(F.col(actual) - F.col(predicted))
+    return F.abs(residual(actual, predicted))
+
+
+def residual(actual: str, predicted: str) -> Column:
+    return F.col(actual) - F.col(predicted)
 
 
 def percentage_error(actual: str, predicted: str) -> Column:
     """Absolute error in percent of the actual; a zero actual counts as 0 percent."""
     y = F.col(actual)
-    return F.when(y != 0, F.abs((y - F.col(predicted)) / y) * 100).otherwise(F.lit(0.0))
+    return F.when(y != 0, F.abs(residual(actual, predicted) / y) * 100).otherwise(F.lit(0.0))
 
 
 def regression_measures(actual: str, predicted: str) -> dict[str, Column]:
@@ -25,12 +29,12 @@ def regression_measures(actual: str, predicted: str) -> dict[str, Column]:
     The total sum of squares comes from the population variance, which Spark
     merges stably across partitions.
     """
-    error = F.col(actual) - F.col(predicted)
-    residual = F.avg(error * error)
+    error = residual(actual, predicted)
+    squared = F.avg(error * error)
     return {
-        "rmse": F.sqrt(residual),
+        "rmse": F.sqrt(squared),
         "mae": F.avg(F.abs(error)),
-        "r2": 1 - F.try_divide(residual, F.nullif(F.var_pop(actual), F.lit(0.0))),
+        "r2": 1 - F.try_divide(squared, F.nullif(F.var_pop(actual), F.lit(0.0))),
         "mape": F.coalesce(F.avg(percentage_error(actual, predicted)), F.lit(0.0)),
     }
 

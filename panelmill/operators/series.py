@@ -104,7 +104,8 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     adaptive execution would merge partitions by bytes, while sliding frames
     cost far more time per byte than a scan.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(partitions), *keys) if partitions.isdigit() else df
 
 
 def _evaluate(specs: Sequence[Spec], window: WindowSpec) -> dict[str, Column]:

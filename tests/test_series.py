@@ -87,6 +87,17 @@ def test_blocks_equal_whole_series_for_any_gaps(spark, gaps, reach, extra):
     same(with_series_columns(df, specs(reach), reach=reach, block_rows=reach + extra), plain(df, reach))
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_blocks_with_missing_timestamps(spark, backwards):
+    rows = [("A", None, float(-i)) for i in range(30)]
+    rows += [("A", START + timedelta(hours=40 * h), float(h)) for h in range(90)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spec = [lags("v", (5,), name=lambda k: "back")]
+    got = with_series_columns(df, spec, reach=5, ties=["v"], backwards=backwards, block_rows=20)
+    order = [F.desc("timestamp"), F.desc("v")] if backwards else ["timestamp", "v"]
+    same(got, df.withColumn("back", F.lag("v", 5).over(W.partitionBy("Name").orderBy(*order))))
+
+
 def test_backwards_blocks_look_ahead(spark):
     df = frame(spark, {"A": [(h * 30, float(h)) for h in range(300)]})
     ahead = with_series_columns(

@@ -223,16 +223,16 @@ extended AS (SELECT * FROM (SELECT *, {deviation} AS price_deviation, {SHORT_DER
 # --- output ---------------------------------------------------------------------
 
 
-def r6(expression: str, name: str) -> str:
-    return f'round({expression} + 1e-8, 6) AS "{name}"'
+def r6(expression: str, name: str, digits: int = 6) -> str:
+    return f'round({expression} + 1e-{digits + 2}, {digits}) AS "{name}"'
 
 
 def plain(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def settled(ctes: str, source: str, keep: Iterable[str], doubles: Iterable[str]) -> str:
-    columns = [f'"{c}"' for c in keep] + [r6(f'"{c}"', c) for c in doubles]
+def settled(ctes: str, source: str, keep: Iterable[str], doubles: Iterable[str], digits: int = 6) -> str:
+    columns = [f'"{c}"' for c in keep] + [r6(f'"{c}"', c, digits) for c in doubles]
     return plain(ctes, f"SELECT {', '.join(columns)} FROM {source}")
 
 
@@ -284,10 +284,10 @@ EXTENDED_DOUBLES = [
 EXTENDED_KEEP = [*FLAT_KEEP, "price_readings", "Time_Zone", "week_of_year", "day_name"]
 
 
-def series_sql(columns: list[str], names: list[str], ctes: str | None = None) -> str:
+def series_sql(columns: list[str], names: list[str], ctes: str | None = None, digits: int = 6) -> str:
     body = f"win AS (SELECT *, {', '.join(columns)} FROM panel {window_ctes('timestamp')})"
     return settled(
-        f"{ctes or panel_ctes()},\n{body}", "win", [*KEYS, "PTID"], ["LBMP_avg", "Load_MW", *names]
+        f"{ctes or panel_ctes()},\n{body}", "win", [*KEYS, "PTID"], ["LBMP_avg", "Load_MW", *names], digits
     )
 
 
@@ -511,7 +511,9 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
         ),
         # featured panels
         "featured_panel": settled(feats, "feats", MODULAR_KEEP, MODULAR_DOUBLES),
-        "featured_panel_daily": settled(feature_ctes(DAILY_FEEDS, "day"), "feats", MODULAR_KEEP, MODULAR_DOUBLES),
+        "featured_panel_daily": settled(
+            feature_ctes(DAILY_FEEDS, "day"), "feats", MODULAR_KEEP, MODULAR_DOUBLES, 4
+        ),
         "featured_panel_flat": settled(flat, "flat", FLAT_KEEP, FLAT_DOUBLES),
         "featured_panel_extended": settled(extended_ctes(), "extended", EXTENDED_KEEP, EXTENDED_DOUBLES),
         "feature_projection": settled(
@@ -541,7 +543,7 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             ],
             ["price_momentum_24h", "price_change_1h", "load_change_1h"],
         ),
-        "rolling_blocks": series_sql(blocks, block_names, panel_ctes(DAILY_FEEDS, "day")),
+        "rolling_blocks": series_sql(blocks, block_names, panel_ctes(DAILY_FEEDS, "day"), 4),
         # derived columns and labels
         "volatility_ratio": plain(
             day_stat_ctes(), f'SELECT "timestamp", "Name", {r6(VOLATILITY, "price_volatility_ratio")} FROM win'

@@ -12,7 +12,7 @@ from panelmill.functions.columns import calendar, parse_wall_clock
 from panelmill.operators import cleaning, metrics, models, reports, rollup, sampling
 from panelmill.operators import features as feat
 from panelmill.operators.series import change, lags, rolling, with_series_columns
-from panelmill.plans.modelling import fit_models, predictions_table
+from panelmill.plans.modelling import evaluate_models, fit_models, predictions_table
 from panelmill.plans.panels import extended_panel, featured_panel, flat_panel, processed_panel
 from panelmill.runtime import materialize, scratch_path
 from panelmill.sources import feeds as vendor
@@ -46,9 +46,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Doubles rounded so that last-bit differences between engines cannot show."""
-    doubles = {n: F.round(F.col(f"`{n}`") + 1e-8, 6) for n, t in df.dtypes if t == "double"}
+def settled(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded so that last-bit differences between engines cannot show.
+
+    The daily loads are of order 1e5, where 4 digits leave the same slack as 6
+    do for the hourly values.
+    """
+    shift = 10.0 ** -(digits + 2)
+    doubles = {n: F.round(F.col(f"`{n}`") + shift, digits) for n, t in df.dtypes if t == "double"}
     return df.withColumns(doubles) if doubles else df
 
 
@@ -276,7 +281,7 @@ def featured_hourly(spark, sf_dir):
 
 
 def featured_daily(spark, sf_dir):
-    return settled(featured_panel(daily_panel(spark, sf_dir), grain="day"))
+    return settled(featured_panel(daily_panel(spark, sf_dir), grain="day"), 4)
 
 
 def featured_flat(spark, sf_dir):
@@ -354,7 +359,7 @@ def rolling_blocks(spark, sf_dir):
     panel = materialize(daily_panel(spark, sf_dir).select(*KEYS, "PTID", "LBMP_avg", "Load_MW"), "panel")
     specs = [rolling("LBMP_avg"), lags("Load_MW")]
     return settled(
-        with_series_columns(panel, specs, reach=168, ties=["PTID"], grain="day", block_rows=200)
+        with_series_columns(panel, specs, reach=168, ties=["PTID"], grain="day", block_rows=200), 4
     )
 
 
@@ -521,7 +526,7 @@ def histogram_volatility(spark, sf_dir):
 @query
 def histogram_residuals(spark, sf_dir):
     df = materialize(naive_predictions(spark, sf_dir).select("LBMP_avg", "predicted_price"), "residuals")
-    return reports.histogram(df, F.round(F.col("LBMP_avg") - F.col("predicted_price"), 6))
+    return reports.histogram(df, F.round(metrics.residual("LBMP_avg", "predicted_price"), 6))
 
 
 @query
@@ -717,16 +722,7 @@ def ml_reports(spark, sf_dir):
     train, test = _split_features(spark, sf_dir)
     names = {t: feat.feature_columns(t, leak_free=True) for t in ("price", "spike")}
     fitted = fit_models(train, names, boost=SMALL_BOOST, forest=SMALL_FOREST)
-    scored = materialize(predictions_table(fitted, test), "predictions")
-    history = metrics.append_history(
-        [
-            metrics.model_report(scored, "price_predictor", "LBMP_avg", "predicted_price", len(names["price"])),
-            metrics.classifier_report(
-                scored, "spike_detector", "is_price_spike", "predicted_spike", "spike_probability", len(names["spike"])
-            ),
-        ]
-    )
-    return _history_rows(history)
+    return _history_rows(evaluate_models(fitted, test, names))
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
