@@ -76,19 +76,20 @@ def with_series_columns(
     rows of equal timestamp.  ``backwards`` runs the series from its end, which
     turns a lag into a lead.
 
-    Series lengths are measured first with one aggregate over (entity, ts), so
-    hand in a stored table rather than a long plan.
+    Series lengths are measured first with one aggregate over the entity column,
+    so hand in a stored table rather than a long plan.
     """
     if block_rows < reach:
         raise ValueError(f"block_rows ({block_rows}) must be at least reach ({reach})")
     order = [F.desc(c) if backwards else F.asc(c) for c in (ts, *ties)]
-    cells = _block_layout(df, entity, _cell(F.col(ts), grain), reach, backwards, block_rows)
-    if cells.isEmpty():
+    lengths = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_rows"))
+    if lengths.where(F.col("_rows") > block_rows).isEmpty():
         # Measured: no series exceeds block_rows, whole-series windows are bounded.
         return _spread(df, entity).withColumns(_evaluate(specs, W.partitionBy(entity).orderBy(*order)))
 
-    keyed = df.withColumn("_cell", _cell(F.col(ts), grain))
-    placed = attach(keyed, cells.withColumnRenamed("_entity", entity), [entity, "_cell"], how="left")
+    cell = _cell(F.col(ts), grain)
+    layout = _block_layout(df, entity, cell, reach, backwards, block_rows).withColumnRenamed("_entity", entity)
+    placed = attach(df.withColumn("_cell", cell), layout, [entity, "_cell"], how="left")
     copies = placed.select(
         *df.columns, F.posexplode(F.coalesce("_blocks", F.array(F.lit(0)))).alias("_copy", "_block")
     )

@@ -175,7 +175,7 @@ def test_forecast_horizon(panel):
 
 
 def test_csv_round_trip_and_missing_files(spark, tmp_path):
-    rows = [(datetime(2024, 1, 1, 5, 10, 3), "N.Y.C.", 61761, 1.5, 0.1, -0.2), (None, "HUD VL", 61758, None, 0.0, 0.0)]
+    rows = [(datetime(2024, 1, 1, 5, 10, 3), "A.B.C.", 61761, 1.5, 0.1, -0.2), (None, "NORTH EAST", 61758, None, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "timestamp timestamp_ntz, Name string, PTID int, LBMP double, Marginal_Cost_Losses double, Marginal_Cost_Congestion double")
     feeds.write_feed(df, str(tmp_path / "20240101realtime_zone_csv"),
                      ["Name", "PTID", "LBMP", "Marginal_Cost_Losses", "Marginal_Cost_Congestion"])
