@@ -87,7 +87,7 @@ def with_series_columns(
         # Measured: no series exceeds block_rows, whole-series windows are bounded.
         return _spread(df, entity).withColumns(_evaluate(specs, W.partitionBy(entity).orderBy(*order)))
 
-    cell = _cell(F.col(ts), grain)
+    cell = _fitting_cell(df, entity, _cells(F.col(ts), grain), block_rows)
     layout = _block_layout(df, entity, cell, reach, backwards, block_rows).withColumnRenamed("_entity", entity)
     placed = attach(df.withColumn("_cell", cell), layout, [entity, "_cell"], how="left")
     copies = placed.select(
@@ -113,9 +113,23 @@ def _evaluate(specs: Sequence[Spec], window: WindowSpec) -> dict[str, Column]:
     return {name: column for spec in specs for name, column in spec(window).items()}
 
 
-def _cell(ts: Column, grain: str) -> Column:
-    """Calendar cell of a row: small against a block, and few per series."""
-    return F.year(ts) * 12 + F.month(ts) if grain == "hour" else F.year(ts)
+def _cells(ts: Column, grain: str) -> list[Column]:
+    """Calendar cells a row may be filed under, coarse to fine."""
+    year, day = F.year(ts), F.unix_date(F.to_date(ts))
+    month = year * 12 + F.month(ts)
+    return [month, day, day * 24 + F.hour(ts)] if grain == "hour" else [year, month, day]
+
+
+def _fitting_cell(df: DataFrame, entity: str, cells: Sequence[Column], block_rows: int) -> Column:
+    """The coarsest cell that fits a block everywhere, so that no block outgrows its size twofold.
+
+    Only rows of one entity within one finest cell are never parted.
+    """
+    for cell in cells[:-1]:
+        sizes = df.groupBy(entity, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_rows"))
+        if sizes.where(F.col("_rows") > block_rows).isEmpty():
+            return cell
+    return cells[-1]
 
 
 def _block_layout(

@@ -87,6 +87,16 @@ def test_blocks_equal_whole_series_for_any_gaps(spark, gaps, reach, extra):
     same(with_series_columns(df, specs(reach), reach=reach, block_rows=reach + extra), plain(df, reach))
 
 
+def test_cells_get_finer_where_a_month_is_crowded(spark):
+    # 30 rows an hour: a month, and even a day, exceed the block size
+    rows = [("A", START + timedelta(hours=h), float(h * 100 + i)) for h in range(40) for i in range(30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    out = with_series_columns(df, [lags("v", (7,), name=lambda k: "back")], reach=7, ties=["v"], block_rows=50)
+    same(out, df.withColumn("back", F.lag("v", 7).over(W.partitionBy("Name").orderBy("timestamp", "v"))))
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1
+
+
 @pytest.mark.parametrize("backwards", [False, True])
 def test_blocks_with_missing_timestamps(spark, backwards):
     rows = [("A", None, float(-i)) for i in range(30)]

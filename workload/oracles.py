@@ -342,9 +342,6 @@ def sampled(ctes: str, source: str, doubles: list[str]) -> str:
     return settled(f"{ctes},\n{picked}", "picked", KEYS, doubles)
 
 
-ABS_ERROR = "abs({y} - {p})"
-
-
 def measures(y: str, p: str) -> dict[str, str]:
     mape = f"avg(CASE WHEN {y} <> 0 THEN abs(({y} - {p}) / {y}) * 100 ELSE 0 END)"
     return {
