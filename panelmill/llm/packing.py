@@ -74,16 +74,15 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> pd.DataFrame:
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of at most ``capacity`` ids, with the ids as little-endian unsigned 32-bit bytes."""
-    end = np.array([end_id], "<u4").tobytes()
-    wide = 4 * capacity
+    end, wide = np.array([end_id], np.uint32), 4 * capacity
     names = ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            texts = encoded(tokenizer, batch.column("text").to_pylist())
+            texts = encoded(tokenizer, batch.column("text"))
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                ids = found + end
+                ids = np.concatenate([found, end]).astype("<u4").tobytes()
                 for at in range(0, len(ids), wide):
                     piece = ids[at : at + wide]
                     out.append((doc_id, at // 4, len(piece) // 4, len(ids) // 4, piece, zlib.crc32(piece)))

@@ -34,25 +34,25 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, image_ids: i
     """
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     run = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         names, lengths, held, size, start = [], [], [], 0, 0
 
         def image() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             row = [part, start, len(names), len(ids), write_image(names, lengths, ids)]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             columns = [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_docs", "n_ids", "image"])
 
         for batch in batches:
-            texts = encoded(tokenizer, batch.column("text").to_pylist())
+            texts = encoded(tokenizer, batch.column("text"))
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 names.append(doc_id)
-                held.append(found + end)
-                lengths.append(len(found) // 4 + 1)
+                held += [found, end]
+                lengths.append(len(found) + 1)
                 size += lengths[-1]
                 if size >= image_ids:
                     yield image()

@@ -3,23 +3,28 @@
 Both supported kinds of tokenizer cut a text before they merge, and never merge
 across a cut, so a text may be encoded in chunks that end at such cuts and the
 chunks' ids joined.  Chunks repeat, texts do not: a worker remembers the ids of
-up to ``CACHE`` chunks.
+the chunks it met, in two generations of up to ``CACHE`` each.  Cutting and
+finding the distinct chunks of a batch is left to Arrow.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from collections.abc import Iterable
-from itertools import chain
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 250_000
-# White space that a cut could meet besides single spaces and line ends.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-_SPACE_RUN = re.compile(r"\s\s")
+BATCH_CHARS = 4_000_000
+# Marks of this module: a full stop, a comma, and the start of a text.
+_STOP, _COMMA, _FIRST = "\x01", "\x02", "\x03"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# A full stop or comma that may belong to a run of signs; behind a letter or digit it stands alone.
+_SIGN_RUN = r"[^\pL\pN][.,][ \n]"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -31,12 +36,13 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; no special tokens are added or recognised.
+    """Ids of texts as unsigned 32-bit arrays; no special tokens are added or recognised.
 
     Byte-level files cut before a single space and around a single line end;
     runs of white space are cut by context, so a text that holds such a run is
-    encoded whole.  Word files drop white space, so every space is a cut.  Any
-    other file is used on whole texts.
+    encoded whole.  Word files drop white space, so every space is a cut.  Both
+    cut between a letter or digit and a full stop or comma.  Any other file is
+    used on whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,7 +54,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         cutter = spec.get("pre_tokenizer") or {}
-        steps = cutter.get("pretokenizers", [cutter])
+        first = cutter.get("pretokenizers", [cutter])[0]
         self.byte_level = (
             spec.get("normalizer") is None
             and cutter.get("type") == "ByteLevel"
@@ -56,55 +62,76 @@ class Encoder:
             and not cutter.get("add_prefix_space")
         )
         self.by_word = (
-            steps[0].get("type") == "Split"
-            and steps[0].get("behavior") == "Removed"
-            and steps[0].get("invert") is True
-            and "[^\\s" in steps[0].get("pattern", {}).get("Regex", "")
+            first.get("type") == "Split"
+            and first.get("behavior") == "Removed"
+            and first.get("invert") is True
+            and "[^\\s" in first.get("pattern", {}).get("Regex", "")
         )
+        # Texts that hold one of the marks are encoded whole, too.
+        self.whole = "[\x01-\x03]" if self.by_word else f"[\x01-\x03]|[{_SPACES}][{_SPACES}]"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _chunks(self, text: str) -> tuple[str, list[str]] | None:
-        """What comes before the first cut, and the keys of the chunks behind it."""
-        if self.by_word:
-            return "", text.replace("\n", " ").split(" ")
-        if not self.byte_level:
-            return None
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-            return None
-        if _OTHER_SPACE.search(text) and _SPACE_RUN.search(text):
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return first, rest
+        return [array("I", x.ids).tobytes() for x in found]
 
     def _text_of(self, key: str) -> str:
-        return key if self.by_word or key.startswith("\n") else " " + key
-
-    def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        cut = [self._chunks(t) for t in texts]
-        keys = set(chain.from_iterable(c[1] for c in cut if c))
+        if key[:1] == _FIRST:
+            return key[1:]
+        if key in (_STOP, _COMMA):
+            return "." if key == _STOP else ","
+        return key if self.by_word or key[:1] == "\n" else " " + key
+
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
+        # A word file drops the space before a chunk anyway.
+        ends = pc.replace_substring(texts, "\n", " " if self.by_word else " \n")
+        apart = pc.replace_substring(pc.replace_substring(ends, ". ", f" {_STOP} "), ", ", f" {_COMMA} ")
+        cut = pc.if_else(pc.match_substring_regex(texts, _SIGN_RUN), ends, apart)
+        return pc.split_pattern(pc.binary_join_element_wise(_FIRST, cut, ""), " ")
+
+    def _look_up(self, keys: list[str]) -> list[bytes]:
         if len(self.known) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         new = [k for k in keys if k not in self.known]
+        self.known.update((k, self.older[k]) for k in new if k in self.older)
+        new = [k for k in new if k not in self.older]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             self.known.update(zip(part, self._encode([self._text_of(k) for k in part]), strict=True))
-        whole = iter(self._encode([c[0] if c else t for c, t in zip(cut, texts, strict=True)]))
-        look = self.known.__getitem__
-        return [next(whole) + b"".join(map(look, c[1])) if c else next(whole) for c in cut]
-
-
-def encoded(path: str, texts: list[str | None], chars: int = 4_000_000) -> Iterable[bytes]:
-    """The ids of each text in turn, working on about ``chars`` characters at a time."""
-    encode, held, size = encoder(path), [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text or "")
-        if size >= chars:
-            yield from encode(held)
-            held, size = [], 0
-    yield from encode(held)
+        return [self.known[k] for k in keys]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not (self.byte_level or self.by_word):
+            return [np.frombuffer(b, np.uint32) for b in self._encode(texts.to_pylist())]
+        whole = pc.match_substring_regex(texts, self.whole)
+        chunks = self._chunks(pc.if_else(whole, "", texts))
+        coded = chunks.flatten().dictionary_encode()
+        found = self._look_up(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start = np.cumsum(size) - size
+        index = coded.indices.to_numpy().astype(np.int64)
+        n = size[index]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.arange(total) + np.repeat(start[index] - (ends - n), n)
+        ids = np.frombuffer(b"".join(found), np.uint32)[at]
+        edges = np.concatenate(([0], ends))[np.asarray(chunks.offsets) - chunks.offsets[0].as_py()]
+        out = np.split(ids, edges[1:-1])
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for i, text in zip(alone, self._encode(texts.take(pa.array(alone)).to_pylist()), strict=True):
+            out[i] = np.frombuffer(text, np.uint32)
+        return out
+
+
+def encoded(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text of a string array in turn, working on about ``BATCH_CHARS`` bytes at a time."""
+    encode = encoder(path)
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, side="right")))
+        yield from encode(texts.slice(at, end - at))
+        at = end
