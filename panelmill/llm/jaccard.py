@@ -199,8 +199,15 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return stored(texts.select("text").mapInArrow(run, "set_id long, elements binary"), "set-elements")
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of sets that link."""
+def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of sets that link.  Only the texts of these sets are read again."""
+    pairs = stored(pairs.distinct(), "set-pairs")
+    if not pairs.take(1):
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    wanted = signed.select("set_id", "check", "doc_id").join(ends, "set_id", "left_semi").groupBy("set_id", "check")
+    wanted = wanted.agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    elements = _elements(docs, wanted, width)
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -256,12 +263,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     )
     hubs = hubs.select("bucket", F.col("hub.set_id").alias("set_id"), F.col("hub.n").alias("n"), F.col("hub.reach").alias("reach"))
     spokes = members.alias("m").join(hubs.alias("h"), "bucket").where(F.col("m.set_id") != F.col("h.set_id"))
-    spokes = spokes.where(fits("m", "h")).select(F.col("m.set_id").alias("a"), F.col("h.set_id").alias("b")).distinct()
-    wanted = signed.join(members.select("set_id").distinct(), "set_id", "left_semi").groupBy("set_id", "check")
-    wanted = wanted.agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    elements = _elements(docs, wanted, width).dropDuplicates(["set_id"])
-    elements = stored(elements, "set-elements")
-    near = _verified(spokes, elements, percent)
+    spokes = spokes.where(fits("m", "h")).select(F.col("m.set_id").alias("a"), F.col("h.set_id").alias("b"))
+    near = _verified(docs, signed, spokes, width, percent)
     first = components(near).withColumnRenamed("node", "set_id")
     # What is left: members of one bucket in several components.  The largest
     # component of a bucket is met by the others, never by itself.
@@ -279,7 +282,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     pairs = rest.where(fits("m", "o")).select(
         F.least("m.set_id", "o.set_id").alias("a"), F.greatest("m.set_id", "o.set_id").alias("b")
     )
-    far = _verified(pairs.distinct(), elements, percent)
+    far = _verified(docs, signed, pairs, width, percent)
     links = near.union(far)
     linked = components(links).withColumnsRenamed({"node": "set_id", "component": "group"})
     ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
