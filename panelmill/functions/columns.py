@@ -96,3 +96,13 @@ def hash_share(keys: Sequence[str], seed: int, parts: int = 100) -> Column:
     """
     head = F.substring(F.md5(key_token(keys, seed)), 1, 8)
     return F.pmod(F.conv(head, 16, 10).cast("long"), F.lit(parts)).cast("int")
+
+
+def wall_clock_text(ts: str) -> Column:
+    """Vendor text of a zone-free timestamp, from its own digits; formatting it would pass the session zone."""
+    text = F.col(ts).cast("timestamp_ntz").cast("string")
+    return F.concat_ws(
+        " ",
+        F.concat_ws("/", F.substring(text, 6, 2), F.substring(text, 9, 2), F.substring(text, 1, 4)),
+        F.when(text.isNotNull(), F.substring(text, 12, 8)),
+    )

@@ -18,23 +18,24 @@ def residual(actual: str, predicted: str) -> Column:
 
 
 def percentage_error(actual: str, predicted: str) -> Column:
-    """Absolute error in percent of the actual; a zero actual counts as 0 percent."""
-    y = F.col(actual)
-    return F.when(y != 0, F.abs(residual(actual, predicted) / y) * 100).otherwise(F.lit(0.0))
+    """Absolute error in percent of the actual; a zero actual counts as 0 percent, a missing side not at all."""
+    y, error = F.col(actual), residual(actual, predicted)
+    return F.when(y != 0, F.abs(error / y) * 100).when(error.isNotNull(), F.lit(0.0))
 
 
 def regression_measures(actual: str, predicted: str) -> dict[str, Column]:
-    """Aggregate expressions rmse, mae, r2 and mape.
+    """Aggregate expressions rmse, mae, r2 and mape over the rows that have both sides.
 
     The total sum of squares comes from the population variance, which Spark
     merges stably across partitions.
     """
     error = residual(actual, predicted)
     squared = F.avg(error * error)
+    paired = F.when(error.isNotNull(), F.col(actual))
     return {
         "rmse": F.sqrt(squared),
         "mae": F.avg(F.abs(error)),
-        "r2": 1 - F.try_divide(squared, F.nullif(F.var_pop(actual), F.lit(0.0))),
+        "r2": 1 - F.try_divide(squared, F.nullif(F.var_pop(paired), F.lit(0.0))),
         "mape": F.coalesce(F.avg(percentage_error(actual, predicted)), F.lit(0.0)),
     }
 
@@ -45,11 +46,11 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def error_by(df: DataFrame, group: str, actual: str, predicted: str) -> DataFrame:
-    """mae, mape and row count per group; groups without rows are absent."""
+    """mae, mape and count of the rows with both sides, per group; groups without rows are absent."""
     return df.groupBy(group).agg(
         F.avg(absolute_error(actual, predicted)).alias("mae"),
         F.avg(percentage_error(actual, predicted)).alias("mape"),
-        F.count(F.lit(1)).alias("count"),
+        F.count(residual(actual, predicted)).alias("count"),
     )
 
 
@@ -101,11 +102,15 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def model_report(df: DataFrame, model_name: str, actual: str, predicted: str, features: int) -> DataFrame:
     """Evaluation record of a regressor: name, metrics map, time, test size and feature count.
 
-    Everything comes from one aggregation of the predictions.
+    The test size counts rows with both sides; ``left_out`` in ``data_info`` the others.  Everything comes from one aggregation of the predictions.
     """
     measures = regression_measures(actual, predicted)
     entries = [part for name, column in measures.items() for part in (F.lit(name), column)]
-    facts = df.agg(F.create_map(*entries).alias("metrics"), F.count(F.lit(1)).alias("test_size"))
+    facts = df.agg(
+        F.create_map(*entries).alias("metrics"),
+        F.count(residual(actual, predicted)).alias("test_size"),
+        F.count_if(residual(actual, predicted).isNull()).alias("left_out"),
+    )
     return _record(facts, model_name, features)
 
 
@@ -136,7 +141,9 @@ def classifier_report(
 
 
 def _record(facts: DataFrame, model_name: str, features: int) -> DataFrame:
-    sizes = F.create_map(F.lit("test_size"), F.col("test_size"), F.lit("features"), F.lit(features).cast("long"))
+    counts = [c for c in ("test_size", "left_out") if c in facts.columns]
+    pairs = [part for c in counts for part in (F.lit(c), F.col(c))]
+    sizes = F.create_map(*pairs, F.lit("features"), F.lit(features).cast("long"))
     return facts.select(
         F.lit(model_name).alias("model_name"),
         "metrics",

@@ -157,7 +157,7 @@ def forecast_horizon(
     panel: DataFrame,
     features: Sequence[str],
     *,
-    horizons: Sequence[int] = (1, 24),
+    horizons: Sequence[int] = tuple(range(1, 25)),
     target: str = "Load_MW",
     entity: str = "Name",
     ts: str = "timestamp",
@@ -169,19 +169,24 @@ def forecast_horizon(
     """Direct multi-step forecasts: one model per horizon, trained on the value h rows ahead.
 
     Returns (ts, entity, horizon, actual, predicted) for the rows after the
-    training span; ``actual`` is NULL where the future is not in the panel.
+    training span; ``actual`` is NULL where the future is not in the panel.  A
+    row is trained on only if its label lies in the training span, too.
     """
+    panel = materialize(panel, "panel")
     ahead = lags(target, horizons, name=lambda h: f"_ahead_{h}")
+    when = lags(ts, horizons, name=lambda h: f"_when_{h}")
     labelled = with_series_columns(
-        panel, [ahead], reach=max(horizons), entity=entity, ts=ts, ties=ties, grain=grain, backwards=True
+        panel, [ahead, when], reach=max(horizons), entity=entity, ts=ts, ties=ties, grain=grain, backwards=True
     )
     labelled = materialize(labelled, "horizons")
     train, test = split_by_time(labelled, ts=ts, train_share=train_share)
+    last = train.agg(F.max(ts)).scalar()
     parts = []
     for h in horizons:
         label = f"_ahead_{h}"
+        known = F.col(label).isNotNull() & (F.col(f"_when_{h}") <= last)
         estimator = demand_regressor(label=label, prediction="predicted", **hyper)
-        model = fit(train.where(F.col(label).isNotNull()), features, estimator)
+        model = fit(train.where(known), features, estimator)
         scored = score(model, test)
         parts.append(scored.select(ts, entity, F.lit(h).alias("horizon"), F.col(label).alias("actual"), "predicted"))
     result = parts[0]

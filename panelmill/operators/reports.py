@@ -44,28 +44,21 @@ def price_stats(spark: SparkSession) -> DataFrame:
 
 def load_stats(spark: SparkSession) -> DataFrame:
     """Per-zone statistics of the ``loads`` view, highest average first."""
-    return spark.sql(
-        """
-        SELECT Name AS Zone, COUNT(*) AS Records,
-               ROUND(AVG(Load), 2) AS Avg_Load_MW, ROUND(MIN(Load), 2) AS Min_Load_MW,
-               ROUND(MAX(Load), 2) AS Max_Load_MW, ROUND(STDDEV(Load), 2) AS Std_Dev
-        FROM loads WHERE Load IS NOT NULL GROUP BY Name ORDER BY Avg_Load_MW DESC, Zone
-        """
-    )
+    measures = {"Avg_Load_MW": F.avg, "Min_Load_MW": F.min, "Max_Load_MW": F.max, "Std_Dev": F.stddev}
+    rounded = [F.round(measure("Load"), 2).alias(name) for name, measure in measures.items()]
+    zones = spark.table("loads").where("Load IS NOT NULL").groupBy(F.col("Name").alias("Zone"))
+    return zones.agg(F.count(F.lit(1)).alias("Records"), *rounded).orderBy(F.desc("Avg_Load_MW"), "Zone")
 
 
 def time_range(spark: SparkSession) -> DataFrame:
-    """First and last timestamp and the days between, for each feed."""
-    return spark.sql(
-        """
-        SELECT 'Prices' AS Dataset, MIN(timestamp) AS Start_Date, MAX(timestamp) AS End_Date,
-               DATEDIFF(MAX(timestamp), MIN(timestamp)) AS Days_Covered
-        FROM prices WHERE timestamp IS NOT NULL
-        UNION ALL
-        SELECT 'Loads', MIN(timestamp), MAX(timestamp), DATEDIFF(MAX(timestamp), MIN(timestamp))
-        FROM loads WHERE timestamp IS NOT NULL
-        """
-    )
+    """First and last timestamp and the days between, for each feed; nulls for a feed without any."""
+
+    def span(dataset: str, view: str) -> DataFrame:
+        ends = spark.table(view).agg(F.min("timestamp").alias("Start_Date"), F.max("timestamp").alias("End_Date"))
+        days = F.datediff("End_Date", "Start_Date").alias("Days_Covered")
+        return ends.select(F.lit(dataset).alias("Dataset"), "Start_Date", "End_Date", days)
+
+    return span("Prices", "prices").union(span("Loads", "loads"))
 
 
 def profile_table(df: DataFrame, name: str) -> DataFrame:

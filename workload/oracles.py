@@ -444,6 +444,11 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             f"""SELECT "Name", count(*) AS rows, count("timestamp") AS stamped, {r6('avg("LBMP")', "avg_price")}
             FROM prices GROUP BY "Name\"""",
         ),
+        "scan_reordered_csv": plain(
+            feeds,
+            f"""SELECT "Name", count(*) AS rows, count("timestamp") AS stamped, {r6('avg("LBMP")', "avg_price")}
+            FROM prices GROUP BY "Name\"""",
+        ),
         "parse_timestamp": plain(
             feeds,
             f"""SELECT "Name", coalesce(strftime("timestamp", '%m/%d/%Y %H:%M:%S'), 'bad') AS stamp,
@@ -652,6 +657,12 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             f"""SELECT "timestamp", "Name", CASE WHEN {hours} < {cut} THEN 'train' ELSE 'test' END AS part FROM panel""",
         ),
         # quality metrics
+        "regression_metrics_gaps": plain(
+            feats,
+            "SELECT "
+            + ", ".join(r6(e, n) for n, e in measures('"LBMP_avg"', "predicted_price").items())
+            + " FROM naive WHERE hour NOT IN (3, 5)",
+        ),
         "regression_metrics": plain(
             feats,
             "SELECT "

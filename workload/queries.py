@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.functions.columns import calendar, parse_wall_clock
+from panelmill.functions.columns import calendar, parse_wall_clock, wall_clock_text
 from panelmill.operators import cleaning, metrics, models, reports, rollup, sampling
 from panelmill.operators import features as feat
 from panelmill.operators.series import change, lags, rolling, with_series_columns
@@ -23,10 +23,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 KEYS = ["timestamp", "Name"]
-# Small ensembles: the queries show the operator, the library keeps the full defaults.
-SMALL_BOOST = {"depth": 4, "rounds": 3}
-SMALL_FOREST = {"depth": 5, "trees": 10}
-FORECAST_FEATURES = ["hour", "day_of_week", "Load_MW", "Load_MW_lag_1", "Load_MW_lag_24", "Load_MW_ma_24"]
 CORR_COLUMNS = [
     "LBMP_avg",
     "Load_MW",
@@ -133,10 +129,26 @@ def scan_csv_glob(spark, sf_dir):
     )
 
 
+@query
+def scan_reordered_csv(spark, sf_dir):
+    """Two folders of vendor files whose columns stand in different orders."""
+    root = scratch_path(spark, "csv")
+    price = feeds.hourly_price(spark, sf_dir)
+    known = F.col("timestamp").isNotNull()
+    vendor.write_feed(price.where(known), f"{root}/2024_realtime_zone_csv", feeds.PRICE_FEED)
+    vendor.write_feed(price.where(~known), f"{root}/2025_realtime_zone_csv", feeds.PRICE_FEED[::-1])
+    df = vendor.read_feed(spark, [f"{root}/{y}_realtime_zone_csv/*.csv" for y in (2024, 2025)], vendor.PRICE_SCHEMA)
+    return settled(
+        df.groupBy("Name").agg(
+            F.count(F.lit(1)).alias("rows"), F.count("timestamp").alias("stamped"), F.avg("LBMP").alias("avg_price")
+        )
+    )
+
+
 @query
 def parse_timestamp(spark, sf_dir):
-    text = F.date_format("timestamp", "MM/dd/yyyy HH:mm:ss")
-    df = feeds.hourly_price(spark, sf_dir).select("Name", F.coalesce(text, F.lit("bad")).alias("stamp"))
+    stamp = F.when(F.col("timestamp").isNotNull(), wall_clock_text("timestamp")).otherwise("bad").alias("stamp")
+    df = feeds.hourly_price(spark, sf_dir).select("Name", stamp)
     return df.select("Name", "stamp", parse_wall_clock(F.col("stamp")).alias("timestamp"))
 
 
@@ -586,6 +598,16 @@ def regression_metrics(spark, sf_dir):
     return settled(metrics.regression_metrics(naive_predictions(spark, sf_dir), "LBMP_avg", "predicted_price"))
 
 
+@query
+def regression_metrics_gaps(spark, sf_dir):
+    """Predictions missing at one hour and actuals at another: only rows with both count."""
+    df = naive_predictions(spark, sf_dir).select(
+        F.when(F.col("hour") != 3, F.col("LBMP_avg")).alias("LBMP_avg"),
+        F.when(F.col("hour") != 5, F.col("predicted_price")).alias("predicted_price"),
+    )
+    return settled(metrics.regression_metrics(df, "LBMP_avg", "predicted_price"))
+
+
 @query
 def classification_metrics(spark, sf_dir):
     return settled(
@@ -685,7 +707,7 @@ def _split_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 @query
 def ml_price_predict(spark, sf_dir):
     train, test = _split_features(spark, sf_dir)
-    model = models.fit(train, feat.feature_columns("price"), models.price_regressor(**SMALL_BOOST))
+    model = models.fit(train, feat.feature_columns("price"), models.price_regressor())
     return models.score(model, test).select(*KEYS, "LBMP_avg", "predicted_price")
 
 
@@ -693,14 +715,14 @@ def ml_price_predict(spark, sf_dir):
 def ml_demand_predict(spark, sf_dir):
     train, test = _split_features(spark, sf_dir)
     names = feat.feature_columns("demand", leak_free=True)
-    model = models.fit(train, names, models.demand_regressor(**SMALL_BOOST))
+    model = models.fit(train, names, models.demand_regressor())
     return models.score(model, test).select(*KEYS, "Load_MW", "predicted_demand")
 
 
 @query
 def ml_spike_predict(spark, sf_dir):
     train, test = _split_features(spark, sf_dir)
-    model = models.fit(train, feat.feature_columns("spike"), models.spike_classifier(**SMALL_FOREST))
+    model = models.fit(train, feat.feature_columns("spike"), models.spike_classifier())
     scored = models.score(model, test)
     chance = vector_to_array("spike_probability")[1].alias("spike_chance")
     return scored.select(*KEYS, "is_price_spike", "predicted_spike", chance)
@@ -711,7 +733,7 @@ def ml_score_all(spark, sf_dir):
     """Three models over one flat panel: the combined predictions table without a join."""
     df = materialize(flat_features(spark, sf_dir), "features")
     train, test = sampling.split_by_hash(df, keys=["hour_timestamp", "Name"])
-    fitted = fit_models(train, feat.FLAT_FEATURES, boost=SMALL_BOOST, forest=SMALL_FOREST)
+    fitted = fit_models(train, feat.FLAT_FEATURES)
     scored = predictions_table(fitted, test)
     return scored.select("hour_timestamp", "Name", *tables.PREDICTION_COLUMNS)
 
@@ -721,14 +743,14 @@ def ml_reports(spark, sf_dir):
     """Evaluation records of a fitted regressor and a fitted classifier."""
     train, test = _split_features(spark, sf_dir)
     names = {t: feat.feature_columns(t, leak_free=True) for t in ("price", "spike")}
-    fitted = fit_models(train, names, boost=SMALL_BOOST, forest=SMALL_FOREST)
+    fitted = fit_models(train, names)
     return _history_rows(evaluate_models(fitted, test, names))
 
 
 def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _ = _split_features(spark, sf_dir)
     names = feat.feature_columns("price", leak_free=True)
-    model = models.fit(train, names, models.price_regressor(**SMALL_BOOST))
+    model = models.fit(train, names, models.price_regressor())
     return models.feature_importance(train, model, names)
 
 
@@ -750,9 +772,9 @@ def predict_intervals(spark, sf_dir):
 
 @query
 def forecast_horizon(spark, sf_dir):
-    return models.forecast_horizon(
-        hourly_features(spark, sf_dir), FORECAST_FEATURES, horizons=(1, 6), **SMALL_BOOST
-    )
+    """The next hour and the next day, by all features that do not hold the target, with the full ensembles."""
+    names = feat.feature_columns("demand", leak_free=True)
+    return models.forecast_horizon(hourly_features(spark, sf_dir), names, horizons=(1, 24))
 
 
 @query
@@ -760,7 +782,7 @@ def model_save_load(spark, sf_dir):
     """A fitted forest before and after a round trip through storage scores the same rows."""
     train, test = _split_features(spark, sf_dir)
     names = feat.feature_columns("spike", leak_free=True)
-    model = models.fit(train, names, models.spike_classifier(**SMALL_FOREST))
+    model = models.fit(train, names, models.spike_classifier())
     path = scratch_path(spark, "model")
     models.save_model(model, path)
     before = models.score(model, test).select(*KEYS, F.col("predicted_spike").alias("before"))
