@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,29 +56,44 @@ def hilbert_index(cells: Sequence[Column], bits: int) -> Column:
     )
     start = F.array(*[c.cast("long") for c in cells])
     turned = F.aggregate(steps, start, turn) if bits > 1 else start
-    # Gray decode: each coordinate is combined with the one before it ...
-    axes = F.array(*[F.lit(i) for i in range(1, n)])
-    gray = (
-        F.aggregate(axes, F.slice(turned, 1, 1), lambda acc, i: F.concat(acc, F.array(F.get(turned, i).bitwiseXOR(F.get(acc, i - 1)))))
-        if n > 1
-        else turned
-    )
-    # ... and every bit below a set bit of the last one is inverted.
-    def flipped(acc: Column, b: Column) -> Column:
-        set_bit = F.call_function("shiftright", F.get(gray, F.lit(n - 1)), b).bitwiseAND(F.lit(1)) == 1
-        return F.when(set_bit, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1), b).cast("long") - 1)).otherwise(acc)
-
     high = F.array(*[F.lit(b) for b in range(bits - 1, 0, -1)])
-    flip = F.aggregate(high, F.lit(0).cast("long"), flipped) if bits > 1 else F.lit(0).cast("long")
+    axes = F.array(*[F.lit(i) for i in range(1, n)])
     planes = F.array(
         *[F.struct(F.lit(b).alias("bit"), F.lit(i).alias("axis")) for b in range(bits - 1, -1, -1) for i in range(n)]
     )
 
-    def interleave(acc: Column, s: Column) -> Column:
-        value = F.get(gray, s["axis"]).bitwiseXOR(flip)
-        return acc * 2 + F.call_function("shiftright", value, s["bit"]).bitwiseAND(F.lit(1))
+    def gray(x: Column) -> Column:
+        """Gray decode: each coordinate is combined with the one before it."""
+        if n == 1:
+            return x
+        nxt = lambda acc, i: F.concat(acc, F.array(F.get(x, i).bitwiseXOR(F.get(acc, i - 1))))
+        return F.aggregate(axes, F.slice(x, 1, 1), nxt)
+
+    def flip(x: Column) -> Column:
+        """The bits below each set bit of the last coordinate, which are inverted in all."""
+        if bits == 1:
+            return F.lit(0).cast("long")
+
+        def add(acc: Column, b: Column) -> Column:
+            is_set = F.call_function("shiftright", F.get(x, F.lit(n - 1)), b).bitwiseAND(F.lit(1)) == 1
+            return F.when(is_set, acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1), b).cast("long") - 1)).otherwise(acc)
+
+        return F.aggregate(high, F.lit(0).cast("long"), add)
+
+    def interleave(p: Column) -> Column:
+        def add(acc: Column, s: Column) -> Column:
+            value = F.get(p["axes"], s["axis"]).bitwiseXOR(p["flip"])
+            return acc * 2 + F.call_function("shiftright", value, s["bit"]).bitwiseAND(F.lit(1))
+
+        return F.aggregate(planes, F.lit(0).cast("long"), add)
+
+    decoded = _bound(turned, gray)
+    return _bound(_bound(decoded, lambda x: F.struct(x.alias("axes"), flip(x).alias("flip"))), interleave)
+
 
-    return F.aggregate(planes, F.lit(0).cast("long"), interleave)
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def quantise(df: DataFrame, positions: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
