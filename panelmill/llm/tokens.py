@@ -20,11 +20,16 @@ import pyarrow.compute as pc
 
 CACHE = 250_000
 BATCH_CHARS = 4_000_000
-# Marks of this module: a full stop, a comma, and the start of a text.
-_STOP, _COMMA, _FIRST = "\x01", "\x02", "\x03"
+# Marks of this module: a full stop, a comma, the start of a text, and the end of a chunk.
+_STOP, _COMMA, _FIRST, _END = "\x01", "\x02", "\x03", "\x04"
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 # A full stop or comma that may belong to a run of signs; behind a letter or digit it stands alone.
 _SIGN_RUN = r"[^\pL\pN][.,][ \n]"
+# Word files cut between a letter and any sign but an apostrophe, which may begin a contraction.  Latin letters
+# only, without the one that lower case turns into a letter and a mark: other scripts have more of that kind.
+_SIGN_BEHIND_LETTER = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:-@\\[-`{-~])"
+# Upper and lower case may compose with different marks.
+_MARKED = r"[A-Z]\pM"
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -40,9 +45,10 @@ class Encoder:
 
     Byte-level files cut before a single space and around a single line end;
     runs of white space are cut by context, so a text that holds such a run is
-    encoded whole.  Word files drop white space, so every space is a cut.  Both
-    cut between a letter or digit and a full stop or comma.  Any other file is
-    used on whole texts.
+    encoded whole; a cut also lies between a letter or digit and a full stop or
+    comma.  Word files drop white space, so every space is a cut, as is the
+    place between a letter and a sign; they lower-case, so chunks that differ
+    in the case of A-Z are one.  Any other file is used on whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,9 +72,11 @@ class Encoder:
             and first.get("behavior") == "Removed"
             and first.get("invert") is True
             and "[^\\s" in first.get("pattern", {}).get("Regex", "")
+            and "Lowercase" in [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         )
         # Texts that hold one of the marks are encoded whole, too.
-        self.whole = "[\x01-\x03]" if self.by_word else f"[\x01-\x03]|[{_SPACES}][{_SPACES}]"
+        self.whole = f"[\x01-\x04]|{_MARKED}" if self.by_word else f"[\x01-\x03]|[{_SPACES}][{_SPACES}]"
+        self.end = self.tokenizer.encode(_END, add_special_tokens=False).ids if self.by_word else []
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -76,16 +84,31 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _encode_words(self, keys: list[str]) -> list[bytes]:
+        """Ids of chunks of a word file, many in one text: an end mark is a token that no chunk holds."""
+        runs = [keys[at : at + 500] for at in range(0, len(keys), 500)]
+        joined = [f" {_END} ".join([*run, ""]) for run in runs]
+        out = []
+        for run, found in zip(runs, self._encode(joined), strict=True):
+            ids = np.frombuffer(found, np.uint32)
+            ends = (4 * np.flatnonzero(ids == self.end[0])).tolist()
+            if len(ends) != len(run):
+                raise ValueError("the end mark is no token of its own in this file")
+            out += [found[a:b] for a, b in zip([0, *[e + 4 for e in ends]], ends)]
+        return out
+
     def _text_of(self, key: str) -> str:
         if key[:1] == _FIRST:
             return key[1:]
         if key in (_STOP, _COMMA):
             return "." if key == _STOP else ","
-        return key if self.by_word or key[:1] == "\n" else " " + key
+        return key if key[:1] == "\n" else " " + key
 
     def _chunks(self, texts: pa.Array) -> pa.ListArray:
-        # A word file drops the space before a chunk anyway.
-        ends = pc.replace_substring(texts, "\n", " " if self.by_word else " \n")
+        if self.by_word:
+            apart = pc.replace_substring_regex(pc.ascii_lower(texts), _SIGN_BEHIND_LETTER, r"\1 \2")
+            return pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
+        ends = pc.replace_substring(texts, "\n", " \n")
         apart = pc.replace_substring(pc.replace_substring(ends, ". ", f" {_STOP} "), ", ", f" {_COMMA} ")
         cut = pc.if_else(pc.match_substring_regex(texts, _SIGN_RUN), ends, apart)
         return pc.split_pattern(pc.binary_join_element_wise(_FIRST, cut, ""), " ")
@@ -98,7 +121,11 @@ class Encoder:
         new = [k for k in new if k not in self.older]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.known.update(zip(part, self._encode([self._text_of(k) for k in part]), strict=True))
+            if len(self.end) == 1:
+                found = self._encode_words(part)
+            else:
+                found = self._encode(part if self.by_word else [self._text_of(k) for k in part])
+            self.known.update(zip(part, found, strict=True))
         return [self.known[k] for k in keys]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:

@@ -1,11 +1,12 @@
 """Nulls, empty and long texts, ties, repeated rows and empty tables, for each operator."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelmill.llm import decontaminate, hilbert, jaccard, lines, lm, packing, quality, secrets, simple8b, token_files, topk
+from panelmill.llm import decontaminate, hilbert, jaccard, lines, lm, packing, quality, secrets, simple8b, token_files, tokens, topk
 from panelmill.llm.components import components
 from panelmill.llm.queries import tokenizer
 
@@ -49,6 +50,20 @@ def test_token_files(docs, rows):
     assert names == sorted(names, key=lambda d: -1 if d is None else d)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    signs = ["a", "B", "ß", "İ", "Σ", "É", "H\u0331", "'s", "'LL", ".", ",", "=", "\u0338", " ", "\n", "\t", "\u3000"]
+    signs += ["1", "\x01", "\x03", "\x04", "<|endoftext|>", "-", "$", "中", "🙂", "क\u093c", "\u0958", "\r\n", '"']
+    draw = np.random.default_rng(3)
+    texts = ["".join(draw.choice(signs, draw.integers(0, 25))) for _ in range(5_000)]
+    plain = Tokenizer.from_file(tokenizer(name))
+    plain.encode_special_tokens = True
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokens.encoded(tokenizer(name), pa.array(texts))] == want
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(3)
     for ids in ([], [0], [1] * 500, [2**64 - 1, 2**60, 2**60 - 1, 0], rng.integers(0, 49_408, 10_001), rng.integers(0, 3, 9_000)):
