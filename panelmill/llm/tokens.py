@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE = 250_000
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 16_000_000
 # Marks of this module: a full stop, a comma, the start of a text, and the end of a chunk.
 _STOP, _COMMA, _FIRST, _END = "\x01", "\x02", "\x03", "\x04"
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -135,7 +135,8 @@ class Encoder:
         whole = pc.match_substring_regex(texts, self.whole)
         chunks = self._chunks(pc.if_else(whole, "", texts))
         coded = chunks.flatten().dictionary_encode()
-        found = self._look_up(coded.dictionary.to_pylist())
+        # By way of numpy, which makes strings ten times as fast as Arrow does.
+        found = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         start = np.cumsum(size) - size
         index = coded.indices.to_numpy().astype(np.int64)
