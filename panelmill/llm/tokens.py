@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHE = 250_000
-BATCH_CHARS = 16_000_000
+BATCH_CHARS = 8_000_000
 # Marks of this module: a full stop, a comma, the start of a text, and the end of a chunk.
 _STOP, _COMMA, _FIRST, _END = "\x01", "\x02", "\x03", "\x04"
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
