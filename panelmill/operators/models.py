@@ -73,14 +73,18 @@ def fit(train: DataFrame, features: Sequence[str], estimator: Estimator) -> Pipe
     """Fit assembler, scaler and estimator on the needed columns, cached for the iterations.
 
     The shared checkpoint folder is set up first: boosting checkpoints its node
-    assignments there every few rounds, which keeps lineage short.
+    assignments there every few rounds, which keeps lineage short.  Rows that
+    come with their assembled vector (``features_raw``) are not assembled again.
     """
     shared_dir(train.sparkSession)
     label = estimator.getLabelCol()
+    stages = feature_stages(features)
+    if "features_raw" in train.columns:
+        features, stages = ["features_raw"], stages[1:]
     columns = list(dict.fromkeys([*features, label]))
     cached = train.select(*columns).cache()
     try:
-        return Pipeline(stages=[*feature_stages(features), estimator]).fit(cached)
+        return Pipeline(stages=[*stages, estimator]).fit(cached)
     finally:
         cached.unpersist()
 
@@ -170,7 +174,8 @@ def forecast_horizon(
 
     Returns (ts, entity, horizon, actual, predicted) for the rows after the
     training span; ``actual`` is NULL where the future is not in the panel.  A
-    row is trained on only if its label lies in the training span, too.
+    row is trained on only if its label lies in the training span, too.  The
+    features are assembled and stored once for all horizons.
     """
     panel = materialize(panel, "panel")
     ahead = lags(target, horizons, name=lambda h: f"_ahead_{h}")
@@ -178,9 +183,9 @@ def forecast_horizon(
     labelled = with_series_columns(
         panel, [ahead, when], reach=max(horizons), entity=entity, ts=ts, ties=ties, grain=grain, backwards=True
     )
-    labelled = materialize(labelled, "horizons")
-    train, test = split_by_time(labelled, ts=ts, train_share=train_share)
+    train, test = split_by_time(materialize(labelled, "horizons"), ts=ts, train_share=train_share)
     last = train.agg(F.max(ts)).scalar()
+    train, test = (materialize(assembler(features).transform(part), "assembled") for part in (train, test))
     parts = []
     for h in horizons:
         label = f"_ahead_{h}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.columns import parse_wall_clock
 from panelmill.operators import metrics, models
 from panelmill.sources import feeds
+from workload.queries import QUERIES
 
 
 def test_metrics_use_complete_pairs(spark):
@@ -68,3 +69,10 @@ def test_no_training_label_behind_the_cut(spark, monkeypatch):
     first = out.agg(F.min("timestamp")).first()[0]
     (label, _), = seen
     assert label < panel.where(F.col("timestamp") < F.lit(first).cast("timestamp_ntz")).count()
+
+
+def test_registered_forecast_has_every_horizon(spark, small, monkeypatch):
+    monkeypatch.setattr(models, "DEMAND_MODEL", {**models.DEMAND_MODEL, "depth": 1, "rounds": 1})
+    found = QUERIES["forecast_horizon"](spark, small).groupBy("horizon").count().collect()
+    assert sorted(r.horizon for r in found) == list(range(1, 25))
+    assert len({r["count"] for r in found}) == 1

@@ -772,9 +772,9 @@ def predict_intervals(spark, sf_dir):
 
 @query
 def forecast_horizon(spark, sf_dir):
-    """The next hour and the next day, by all features that do not hold the target, with the full ensembles."""
+    """Each of the next 24 hours, by all features that do not hold the target, with the full ensembles."""
     names = feat.feature_columns("demand", leak_free=True)
-    return models.forecast_horizon(hourly_features(spark, sf_dir), names, horizons=(1, 24))
+    return models.forecast_horizon(hourly_features(spark, sf_dir), names)
 
 
 @query
