@@ -1,4 +1,12 @@
-"""Language-model scores from a log-frequency Bloom filter of n-gram counts."""
+"""Language-model scores from a log-frequency Bloom filter of n-gram counts.
+
+Texts are cut into batches of tokens, stored once.  Each batch sends its
+distinct words and word pairs, with their counts, to segments by the leading
+bits of their hashes.  A segment merges the counts, enters them into a filter
+sized from what it holds, and answers every batch from it; a batch then scores
+its texts.  The number of segments follows the bytes of the texts, so nothing
+is broadcast, gathered on the driver or bounded by a fixed size.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +14,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -18,11 +25,9 @@ from panelmill.llm.common import WordHashes, stored, words
 BASE = 1.5
 PRIOR = 4.0
 PROBES = 4
-BITS_PER_BYTE = 0.5
-MAX_FILTER_BYTES = 64 << 20
-HEAVY = 1 << 20
-SEGMENT_BYTES = 8 << 20
-TAIL_BYTES = 64 << 20
+# Least bits of a filter for each level entered: at most 0.7 % of absent levels are read as present.
+BITS_PER_ENTRY = 12
+SEGMENT_BYTES = {"word": 64 << 20, "pair": 8 << 20}
 FLUSH = 2_000_000
 # Hashes of what is no word: the start of a document and its end.
 START, END = 0x243F6A8885A308D3, 0x13198A2E03707344
@@ -57,17 +62,18 @@ def power_of_two(x: float) -> int:
 
 @dataclass(frozen=True)
 class Filter:
-    """Bits of a filter cut into ``2 ** segments`` parts of ``2 ** width`` bits each.
+    """``2 ** width`` bits for the n-grams of one of ``2 ** segments`` segments.
 
     An n-gram of level ``q`` is entered once for every level up to ``q``; its
-    level is read by probing upwards until a probe fails.  Missing n-grams may
-    be read as present (the fewer bits, the more often), present ones are never
-    lost.
+    level is read by probing upwards until a probe fails or ``top``, the highest
+    level entered, is reached.  Missing n-grams may be read as present (the
+    fewer bits, the more often), present ones are never lost.
     """
 
     segments: int
     width: int
     bits: np.ndarray | None = None
+    top: int = int(level(2**63 - 1))
 
     def _probes(self, keys: np.ndarray, at: int) -> Iterator[np.ndarray]:
         g = mixed(keys ^ np.uint64(at * int(_MIX[2]) & (1 << 64) - 1))
@@ -76,7 +82,7 @@ class Filter:
             yield (g + np.uint64(i) * step) & mask
 
     def part(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Bits of one segment that hold these n-grams."""
+        """Bits that hold these n-grams."""
         bits = np.zeros(1 << self.width, bool)
         at = 1
         while len(keys):
@@ -91,12 +97,9 @@ class Filter:
         """The level of each n-gram; 0 if it was not entered."""
         out = np.zeros(len(keys), np.int64)
         left, at = np.arange(len(keys)), 1
-        shift, width = np.uint64(64 - self.segments), np.uint64(self.width)
-        base = (keys >> shift) << width if self.segments else np.zeros(len(keys), np.uint64)
-        while len(left):
+        while len(left) and at <= self.top:
             hit = np.ones(len(left), bool)
-            for probe in self._probes(keys[left], at):
-                place = base[left] + probe
+            for place in self._probes(keys[left], at):
                 hit &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             left = left[hit]
             out[left] = at
@@ -104,6 +107,12 @@ class Filter:
         return out
 
 
+def entered(keys: np.ndarray, levels: np.ndarray, segments: int = 0) -> Filter:
+    """A filter that holds these n-grams, sized from the number of levels to enter."""
+    width = max(6, power_of_two(BITS_PER_ENTRY * int(levels.sum())))
+    return Filter(segments, width, Filter(segments, width).part(keys, levels), int(levels.max(initial=0)))
+
+
 def _segment(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
@@ -115,265 +124,200 @@ def _split(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(segment), slice(edges[segment], edges[segment + 1])
 
 
-def count_ngrams(texts: DataFrame, uni_bits: int, bi_bits: int) -> DataFrame:
-    """Counts of words and word pairs of ``text``, in pieces: ``kind, segment, keys, counts``."""
+_BATCH = pa.schema([("batch", pa.int64()), *[(c, pa.binary()) for c in ("ids", "no_id", "learned", "lengths", "words", "tokens")]])
+
+
+@dataclass(frozen=True)
+class Batch:
+    """Texts as places in their sorted distinct words, of which ``START`` is one."""
+
+    learned: np.ndarray
+    lengths: np.ndarray
+    words: np.ndarray
+    tokens: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Batch:
+        found = np.frombuffer(row["words"], np.uint64)
+        tokens = np.frombuffer(row["tokens"], "<u2" if len(found) <= 1 << 16 else "<u4")
+        return cls(np.frombuffer(row["learned"], bool), np.frombuffer(row["lengths"], np.int64), found, tokens)
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.cumsum(self.lengths) - self.lengths
+
+    @property
+    def start(self) -> int:
+        return int(np.searchsorted(self.words, np.uint64(START)))
+
+    def before(self) -> np.ndarray:
+        """The place of the word before each token."""
+        out = np.roll(self.tokens, 1)
+        out[self.starts] = self.start
+        return out
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct word pairs, and the place of each token's pair in them."""
+        return np.unique(bigrams(self.words[self.tokens], self.words[self.before()]), return_inverse=True)
+
+    def counts(self) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """All words and all pairs, each with how often the learned texts hold it."""
+        learned = np.repeat(self.learned, self.lengths)
+        number = np.bincount(self.tokens[learned], minlength=len(self.words))
+        number[self.start] += int(self.learned.sum())
+        yield "word", self.words, number
+        keys, at = self.pairs()
+        yield "pair", keys, np.bincount(at[learned], minlength=len(keys))
+
+
+def token_batches(docs: DataFrame) -> DataFrame:
+    """The rows of ``doc_id, text, learned`` in batches of about ``FLUSH`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate(held)
-            starts = np.zeros(len(tokens), bool)
-            starts[0] = True
-            starts[1:] = tokens[:-1] == np.uint64(END)
-            before = np.where(starts, np.uint64(START), np.roll(tokens, 1))
-            contexts = np.full(int(starts.sum()), START, np.uint64)
-            for kind, keys, bits in (
-                ("word", np.concatenate([tokens, contexts]), uni_bits),
-                ("pair", bigrams(tokens, before), bi_bits),
-            ):
-                keys, counts = np.unique(keys, return_counts=True)
-                rows = [(kind, s, keys[at].tobytes(), counts[at].astype("<u4").tobytes()) for s, at in _split(keys, bits)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    ["kind", "segment", "keys", "counts"],
-                )
+        doc_ids, learned, size = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate([*held, np.array([START], np.uint64)])
+            distinct, at = np.unique(tokens, return_inverse=True)
+            row = {
+                "batch": number,
+                "ids": np.array([d or 0 for d in doc_ids], np.int64).tobytes(),
+                "no_id": np.array([d is None for d in doc_ids], bool).tobytes(),
+                "learned": np.array(learned, bool).tobytes(),
+                "lengths": np.array([len(h) for h in held], np.int64).tobytes(),
+                "words": distinct.tobytes(),
+                "tokens": at[:-1].astype("<u2" if len(distinct) <= 1 << 16 else "<u4").tobytes(),
+            }
+            return pa.RecordBatch.from_pylist([row], _BATCH)
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "learned", "text")]
+            for doc_id, flag, text in zip(*columns, strict=True):
                 found = list(map(_HASHES.__getitem__, words(text)))
                 found.append(END)
                 held.append(np.array(found, np.uint64))
+                doc_ids.append(doc_id)
+                learned.append(flag)
                 size += len(found)
                 if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
+                    yield flush()
+                    number += 1
+                    held, doc_ids, learned, size = [], [], [], 0
         if held:
-            yield from flush()
+            yield flush()
 
-    return texts.mapInArrow(run, "kind string, segment long, keys binary, counts binary")
+    schema = "batch long, ids binary, no_id binary, learned binary, lengths binary, words binary, tokens binary"
+    return stored(docs.mapInArrow(run, schema), "token-batches")
 
 
-@dataclass(frozen=True)
-class LanguageModel:
-    words: Filter
-    pairs: Filter
-    tokens: int
-    vocabulary: int
-    heavy_keys: np.ndarray
-    heavy_counts: np.ndarray
-    #: ``segment, keys, counts`` of all words, exact
-    counts: DataFrame
-    tail_bits: int
-
-
-def fit(texts: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES) -> LanguageModel:
-    """Count the words and word pairs of all rows of ``text`` and enter them into two filters.
-
-    Both filters are sized from the bytes of the texts (about four bits a token
-    for pairs, an eighth of that for words) up to ``max_filter_bytes`` and an
-    eighth of it, which bounds what is broadcast.  Beyond that bound nothing is
-    left out; unseen pairs are then read as seen more often.  Each segment is
-    merged and entered by one task.
+def read_counts(batches: DataFrame, bits: dict[str, int]) -> DataFrame:
+    """What the filters answer to each batch: ``batch, kind, segment, levels, counts, distinct, total``.
+
+    A row without a batch holds the number of distinct and of all counted words
+    (or pairs) of the segment.  ``levels`` are read from the segment's filter;
+    ``counts`` are exact, for words only.
     """
-    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    pair_bits = power_of_two(size / SEGMENT_BYTES)
-    tail_bits = power_of_two(size / TAIL_BYTES)
-    all_bits = min(power_of_two(size * BITS_PER_BYTE), power_of_two(8 * max_filter_bytes))
-    all_bits = max(all_bits, pair_bits + 13, tail_bits + 16)
-    pairs = Filter(pair_bits, all_bits - pair_bits)
-    uni = Filter(tail_bits, all_bits - 3 - tail_bits)
-
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        kind, segment = frame["kind"].iloc[0], int(frame["segment"].iloc[0])
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in frame["keys"]])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in frame["counts"]]).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
-        word = kind == "word"
-        bits = (uni if word else pairs).part(keys, level(counts))
-        real = keys != np.uint64(START)
-        return pd.DataFrame(
+
+    def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in found:
+            for row in piece.to_pylist():
+                for kind, keys, counts in Batch.of(row).counts():
+                    cuts = list(_split(keys, bits[kind]))
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "batch": pa.array([row["batch"]] * len(cuts), pa.int64()),
+                            "kind": pa.array([kind] * len(cuts), pa.string()),
+                            "segment": pa.array([s for s, _ in cuts], pa.int64()),
+                            "keys": pa.array([keys[at].tobytes() for _, at in cuts], pa.binary()),
+                            "counts": pa.array([counts[at].astype("<u4").tobytes() for _, at in cuts], pa.binary()),
+                        }
+                    )
+
+    def merge(sent: pa.Table) -> pa.Table:
+        kind, segment = sent["kind"][0].as_py(), sent["segment"][0].as_py()
+        pieces = [np.frombuffer(k, np.uint64) for k in sent["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(pieces), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(c, "<u4") for c in sent["counts"].to_pylist()])
+        counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+        have = counts > 0
+        levels = entered(keys[have], level(counts[have]), bits[kind]).read(keys)[at].astype(np.uint8)
+        real = have & (keys != np.uint64(START))
+        edges = np.cumsum([0, *map(len, pieces)])
+        cuts = [slice(a, b) for a, b in zip(edges, edges[1:])]
+        rows = sent.num_rows
+        exact = counts[at] if kind == "word" else np.zeros(len(at), np.int64)
+        return pa.table(
             {
-                "kind": [kind],
-                "segment": [segment],
-                "bits": [bits.tobytes()],
-                "distinct": [int(real.sum())],
-                "total": [int(counts[real].sum())],
-                "keys": [keys[real].tobytes() if word else b""],
-                "counts": [counts[real].tobytes() if word else b""],
+                "batch": pa.array([*sent["batch"].to_pylist(), None], pa.int64()),
+                "kind": pa.array([kind] * (rows + 1), pa.string()),
+                "segment": pa.array([segment] * (rows + 1), pa.int64()),
+                "levels": pa.array([*[levels[c].tobytes() for c in cuts], None], pa.binary()),
+                "counts": pa.array([*[exact[c].tobytes() if kind == "word" else None for c in cuts], None], pa.binary()),
+                "distinct": pa.array([*[None] * rows, int(real.sum())], pa.int64()),
+                "total": pa.array([*[None] * rows, int(counts[real].sum())], pa.int64()),
             }
         )
 
-    schema = "kind string, segment long, bits binary, distinct long, total long, keys binary, counts binary"
-    counted = count_ngrams(texts.select("text"), tail_bits, pair_bits)
-    merged = stored(counted.groupBy("kind", "segment").applyInPandas(merge, schema), "ngram-filter")
-    by_word = merged.where(F.col("kind") == "word")
-    vocabulary, tokens = by_word.agg(F.sum("distinct"), F.sum("total")).first()
-    tokens, vocabulary = tokens or 0, vocabulary or 0
-    least = tokens / HEAVY
-
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                keys = np.frombuffer(batch.column("keys")[i].as_py(), np.int64)
-                counts = np.frombuffer(batch.column("counts")[i].as_py(), np.int64)
-                often = counts >= least
-                yield pa.RecordBatch.from_pydict({"key": keys[often], "count": counts[often]})
-
-    # At most HEAVY words hold one in HEAVY of all tokens.
-    often = by_word.select("keys", "counts").mapInArrow(heavy, "key long, count long").toPandas()
-    heavy_keys = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(heavy_keys)
-
-    def gather(kind: str, shape: Filter) -> Filter:
-        # A fixed number of segments of a bounded filter, fetched in turn.
-        each = 1 << shape.width - 3
-        out = np.zeros(each << shape.segments, np.uint8)
-        for row in merged.where(F.col("kind") == kind).select("segment", "bits").toLocalIterator():
-            out[row["segment"] * each : (row["segment"] + 1) * each] = np.frombuffer(row["bits"], np.uint8)
-        return Filter(shape.segments, shape.width, out)
-
-    return LanguageModel(
-        gather("word", uni),
-        gather("pair", pairs),
-        tokens,
-        vocabulary,
-        heavy_keys[order],
-        often["count"].to_numpy(np.int64)[order],
-        by_word.select("segment", "keys", "counts"),
-        tail_bits,
-    )
-
-
-def _chances(model: LanguageModel, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 of each token's smoothed probability after the token before it, from filter probes."""
-    seen = count_of(model.words.read(tokens))
-    context = count_of(model.words.read(before))
-    pair = np.minimum(count_of(model.pairs.read(bigrams(tokens, before))), context)
-    alone = (seen + 0.1) / (max(model.tokens, 1) + 0.1 * (model.vocabulary + 1))
-    return np.log10((pair + PRIOR * alone) / (context + PRIOR))
+    counted = batches.mapInArrow(count, "batch long, kind string, segment long, keys binary, counts binary")
+    schema = "batch long, kind string, segment long, levels binary, counts binary, distinct long, total long"
+    return stored(counted.groupBy("kind", "segment").applyInArrow(merge, schema), "ngram-counts")
 
 
-def score_documents(docs: DataFrame, learn: Column, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, learn: Column) -> DataFrame:
     """Score every row of ``doc_id, text``; rows for which ``learn`` holds are counted first.
 
     Returns ``doc_id, learned, n_tokens, n_known, train_tokens, base_score,
     score``.  Tokens are words (A-Z lower-cased, split at ASCII white space) and
     one end per text; ``n_known`` counts tokens that the counted rows hold.
     ``base_score`` is the unigram log10 probability with 0.1 added to exact
-    counts: words that are at least one in ``HEAVY`` of all tokens are looked up
-    in a broadcast table, all others meet their counts in a shuffle, where each
-    is rare.  ``score`` is the bigram model's log10 probability.
+    counts; ``score`` is the bigram model's log10 probability, from the levels
+    that the filters of words and pairs answer.
 
     A null text is empty: one end.  Repeated rows are scored alike; with nothing
     counted, counts are 0; an empty table gives no rows; other columns are not
     read.  Words are told apart by 64-bit hashes.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learned"))
-    model = fit(docs.where("learned").select("text"), max_filter_bytes)
-    tail_bits, total = model.tail_bits, max(model.tokens, 0) + 0.1 * (model.vocabulary + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(
-        (LanguageModel(model.words, model.pairs, model.tokens, model.vocabulary, model.heavy_keys, model.heavy_counts, None, tail_bits))
-    )
-    schema = (
-        "row long, doc_id long, learned boolean, n_tokens long, n_known long, base double, score double, "
-        "segment long, rows binary, keys binary"
-    )
-    names = ["row", "doc_id", "learned", "n_tokens", "n_known", "base", "score", "segment", "rows", "keys"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            held, doc_ids, learned, size = [], [], [], 0
-            last = batch.num_rows - 1
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "learned", "text")]
-            for i, (doc_id, flag, text) in enumerate(zip(*columns, strict=True)):
-                found = list(map(_HASHES.__getitem__, words(text)))
-                found.append(END)
-                held.append(np.array(found, np.uint64))
-                doc_ids.append(doc_id)
-                learned.append(flag)
-                size += len(found)
-                if size < FLUSH and i < last:
-                    continue
-                yield from work(lm, row, held, doc_ids, learned)
-                row += len(held)
-                held, doc_ids, learned, size = [], [], [], 0
-
-    def work(lm, row, held, doc_ids, learned) -> Iterator[pa.RecordBatch]:
-        n = np.array([len(h) for h in held])
-        tokens = np.concatenate(held)
-        ends = np.cumsum(n)
-        before = np.roll(tokens, 1)
-        before[ends - n] = np.uint64(START)
-        which = np.repeat(np.arange(len(n)), n)
-        score = np.add.reduceat(_chances(lm, tokens, before), ends - n)
-        if len(lm.heavy_keys):
-            at = np.minimum(np.searchsorted(lm.heavy_keys, tokens), len(lm.heavy_keys) - 1)
-            known = lm.heavy_keys[at] == tokens
-            value = np.where(known, np.log10((lm.heavy_counts[at] + 0.1) / total), 0.0)
-        else:
-            known, value = np.zeros(len(tokens), bool), np.zeros(len(tokens))
-        base = np.add.reduceat(value, ends - n)
-        n_known = np.add.reduceat(known.astype(np.int64), ends - n)
-        count = len(n)
-        ids = row + np.arange(count)
-        none = [None] * count
-        data = [ids, doc_ids, learned, n, n_known, base, score, none, none, none]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data, kinds, strict=True)], names)
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            rest = rest[np.argsort(tokens[rest], kind="stable")]
-            keys, owner = tokens[rest], ids[which[rest]]
-            parts = list(_split(keys, tail_bits))
-            none = [None] * len(parts)
-            data = [none] * 7 + [
-                [s for s, _ in parts],
-                [owner[at].astype(np.int64).tobytes() for _, at in parts],
-                [keys[at].tobytes() for _, at in parts],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(data, kinds, strict=True)], names)
-
-    found = stored(docs.mapInArrow(run, schema), "lm-scores")
-
-    def look_up(tail: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        if not len(tail):
-            return pd.DataFrame({"row": [], "more_known": [], "more_base": []})
-        rows = np.concatenate([np.frombuffer(r, np.int64) for r in tail["rows"]])
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in tail["keys"]])
-        counts = np.zeros(len(keys), np.int64)
-        if len(counted):
-            have = np.frombuffer(counted["keys"].iloc[0], np.uint64)
-            number = np.frombuffer(counted["counts"].iloc[0], np.int64)
-            if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                counts = np.where(have[at] == keys, number[at], 0)
-        distinct, at = np.unique(rows, return_inverse=True)
-        value = np.log10((counts + 0.1) / total)
-        return pd.DataFrame(
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    batches = token_batches(docs)
+    answers = read_counts(batches, {kind: power_of_two(size / most) for kind, most in SEGMENT_BYTES.items()})
+    by_word = answers.where("batch IS NULL AND kind = 'word'")
+    vocabulary, trained = (n or 0 for n in by_word.agg(F.sum("distinct"), F.sum("total")).first())
+    total = trained + 0.1 * (vocabulary + 1)
+    smooth = max(trained, 1) + 0.1 * (vocabulary + 1)
+
+    def score(texts: pa.Table, told: pa.Table) -> pa.Table:
+        row = texts.to_pylist()[0]
+        batch = Batch.of(row)
+        told = told.sort_by("segment").to_pylist()
+
+        def answer(kind: str, column: str, dtype: type) -> np.ndarray:
+            return np.concatenate([np.frombuffer(r[column], dtype) for r in told if r["kind"] == kind])
+
+        exact = answer("word", "counts", np.int64)
+        seen = count_of(answer("word", "levels", np.uint8).astype(np.int64))
+        pair = count_of(answer("pair", "levels", np.uint8).astype(np.int64))[batch.pairs()[1]]
+        context = seen[batch.before()]
+        alone = ((seen + 0.1) / smooth)[batch.tokens]
+        chance = np.log10((np.minimum(pair, context) + PRIOR * alone) / (context + PRIOR))
+        base = np.log10((exact + 0.1) / total)[batch.tokens]
+        starts = batch.starts
+        return pa.table(
             {
-                "row": distinct,
-                "more_known": np.bincount(at, counts > 0, len(distinct)).astype(np.int64),
-                "more_base": np.bincount(at, value, len(distinct)),
+                "doc_id": pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["no_id"], bool)),
+                "learned": pa.array(batch.learned),
+                "n_tokens": pa.array(batch.lengths),
+                "n_known": pa.array(np.add.reduceat((exact > 0).astype(np.int64)[batch.tokens], starts)),
+                "base_score": pa.array(np.add.reduceat(base, starts)),
+                "score": pa.array(np.add.reduceat(chance, starts)),
             }
         )
 
-    tail = found.where("segment IS NOT NULL").select("segment", "rows", "keys").groupBy("segment")
-    more = tail.cogroup(model.counts.groupBy("segment")).applyInPandas(look_up, "row long, more_known long, more_base double")
-    more = more.groupBy("row").agg(F.sum("more_known").alias("more_known"), F.sum("more_base").alias("more_base"))
-    scored = found.where("segment IS NULL").join(more, "row", "left")
+    told = answers.where("batch IS NOT NULL").select("batch", "kind", "segment", "levels", "counts")
+    schema = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
+    scored = batches.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, schema)
     return scored.select(
-        "doc_id",
-        "learned",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        "doc_id", "learned", "n_tokens", "n_known", F.lit(trained).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows and empty tables, for each operator."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -236,3 +238,42 @@ def test_pipeline_stages(spark, small, docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, small), "stage")
     docs.collect()
+
+
+def test_filter_of_a_segment_holds_what_it_gets():
+    # A segment of 14 leading bits: 120 GB of text, a hundred times what 64 MB of pair filter were made for.
+    keys = lm.mixed(np.arange(1, 1_200_001, dtype=np.uint64)) >> np.uint64(14)
+    levels = np.where(np.arange(len(keys)) % 10, 1, 4)
+    held = lm.entered(keys, levels, 14)
+    absent = lm.mixed(np.arange(2_000_000, 2_300_000, dtype=np.uint64)) >> np.uint64(14)
+    assert (held.read(keys) >= levels).all() and (held.read(keys) != levels).mean() < 0.01
+    assert (held.read(absent) > 0).mean() < 0.01
+    full = lm.Filter(0, 6, np.full(8, 255, np.uint8), top=3)
+    assert (full.read(absent) == 3).all()
+
+
+@pytest.mark.parametrize("cut", [None, 2_000])
+def test_language_model_against_all_counts(make, monkeypatch, cut):
+    if cut:
+        monkeypatch.setattr(lm, "SEGMENT_BYTES", {"word": 4 * cut, "pair": cut})
+        monkeypatch.setattr(lm, "FLUSH", cut)
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(f"w{int(w)}" for w in rng.zipf(1.4, 400) % 5_000)) for i in range(60)]
+    split = {i: [*t.split(), None] for i, t in rows}
+    pairs = {i: list(zip(["START", *ws], ws)) for i, ws in split.items()}
+    learned = [i for i in split if i % 4]
+    ones = Counter(w for i in learned for w in split[i]) + Counter({"START": len(learned)})
+    twos = Counter(p for i in learned for p in pairs[i])
+    n, v = sum(ones.values()) - len(learned), len(ones) - 1
+
+    def near(count):
+        return float(lm.count_of(lm.level(np.array([count])))[0]) if count else 0.0
+
+    def chance(a, b):
+        alone = (near(ones[b]) + 0.1) / (n + 0.1 * (v + 1))
+        return np.log10((min(near(twos[a, b]), near(ones[a])) + 4 * alone) / (near(ones[a]) + 4))
+
+    want = {i: sum(chance(a, b) for a, b in pairs[i]) for i in split}
+    got = {r.doc_id: r.score for r in lm.score_documents(make(rows), F.col("doc_id") % 4 != 0).collect()}
+    assert set(got) == set(want)
+    assert max(abs(got[i] - want[i]) / len(split[i]) for i in want) < 0.03
