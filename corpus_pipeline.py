@@ -44,7 +44,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Texts without words are in no group and stay, and so do rows without an id.
     """
     find_package(spark)
-    found = jaccard.jaccard_components(docs, width=5, percent=80)
+    found = jaccard.jaccard_components(docs, width=5, percent=80, count_links=False)
     gone = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -14,8 +14,9 @@ from their sizes, so
 The boundary is where the cost of both, summed over the histogram of set sizes,
 is least.  Equal sets are one set from the start.  A bucket (subset or list) is
 first linked to its most central member; pairs of a bucket are only compared
-where these links leave its members in several components, so a group of near
-copies costs its size and not its square, and no link is lost.
+where these links leave its members in several components, so components are
+found at the cost of a group's size and not its square.  All links lie within
+components; they are counted there, by shared elements of blocks of sets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ WIDTH = 4
 PERCENT = 85
 SKETCH_BITS = 20
 CHUNKS = 64
+# Sets of a large component to a block, sets of small ones to a pack, elements compared at a time.
+BLOCK_SETS, PACK_SETS, COLUMNS = 512, 64, 4096
+BLOCK_ELEMENTS = 1 << 20
 # What visiting an inverted list costs, in rows written for a subset.
 VISIT = 4
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -185,25 +189,28 @@ def _signed(docs: DataFrame, width: int, percent: int, levels: np.ndarray, bound
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``set_id, elements`` of the sets of the documents ``wanted`` (``doc_id``), from their texts."""
+    """``set_id, n, elements`` of the sets of the documents ``wanted`` (``doc_id``), from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
             ids = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "elements"]
+                [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                ["set_id", "n", "elements"],
             )
 
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    return stored(texts.select("text").mapInArrow(run, "set_id long, elements binary"), "set-elements")
+    return stored(texts.select("text").mapInArrow(run, "set_id long, n long, elements binary"), "set-elements")
 
 
-def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of sets that link.  Only the texts of these sets are read again."""
+def _verified(
+    docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs ``a, b`` of sets that link, and the elements of all sets in ``pairs``.  Only their texts are read again."""
     pairs = stored(pairs.distinct(), "set-pairs")
     if not pairs.take(1):
-        return pairs
+        return pairs, None
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = signed.select("set_id", "check", "doc_id").join(ends, "set_id", "left_semi").groupBy("set_id", "check")
     wanted = wanted.agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -222,18 +229,77 @@ def _verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, width: int,
     left = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("left"))
     right = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("right"))
     met = pairs.join(left, "a").join(right, "b")
-    return stored(met.where(linked("left", "right")).select("a", "b").distinct(), "set-links")
-
-
-def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    return stored(met.where(linked("left", "right")).select("a", "b").distinct(), "set-links"), elements
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # An element of one set is shared with none.
+    often = times > 1
+    place = (np.cumsum(often) - 1)[at]
+    owner, place = owner[often[at]], place[often[at]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(place, [low, low + COLUMNS])
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[owner[a:b], place[a:b] - low] = 1
+        out += (holds @ holds.T).astype(np.int64)
+    return out
+
+
+def _count_links(placed: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """``set_id, n_links``: with how many other sets each set of the components ``set_id, group`` links.
+
+    A component of more than ``BLOCK_SETS`` sets (or ``BLOCK_ELEMENTS`` elements) is cut into blocks by hash, and
+    each two of its blocks meet in one group; smaller ones share packs, where
+    sets of different components do not link anyway.
+    """
+    lengths = elements.select("set_id", "n").distinct()
+    sizes = placed.join(lengths, "set_id").groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    sizes = stored(sizes, "component-sizes")
+    sets, held = (x or 0 for x in sizes.agg(F.sum("size"), F.sum("n")).first())
+    packs = max(1, sets // PACK_SETS, held // BLOCK_ELEMENTS)
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK_SETS, F.col("n") / BLOCK_ELEMENTS)).cast("int")
+    cut = placed.join(sizes, "group").withColumn("blocks", blocks)
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    whole = F.col("blocks") == 1
+    cut = cut.withColumn("part", F.when(whole, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.col("group")))
+    met = cut.drop("n").join(elements, "set_id").select(
+        "set_id", whole.alias("whole"), "part", "block", "elements", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+
+    def count(rows: pa.Table) -> pa.Table:
+        ids, first = np.unique(rows["set_id"].to_numpy(), return_index=True)
+        block = rows["block"].to_numpy()[first]
+        held = rows["elements"].to_pylist()
+        sets = [np.frombuffer(held[i], np.uint64) for i in first]
+        shared, n = _shared(sets), np.array([len(x) for x in sets])
+        links = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+        np.fill_diagonal(links, False)
+        if rows["low"][0].as_py() != rows["high"][0].as_py():
+            links &= block[:, None] != block[None, :]
+        return pa.table({"set_id": pa.array(ids), "n_links": pa.array(links.sum(axis=1).astype(np.int64))})
+
+    found = met.groupBy("whole", "part", "low", "high").applyInArrow(count, "set_id long, n_links long")
+    return found.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
+
+
+def jaccard_components(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, count_links: bool = True
+) -> DataFrame:
     """``doc_id, n_shingles, class_id, n_links, component_id`` for each row of ``doc_id, text``.
 
     Words are split at ASCII white space with A-Z lower-cased; the set of a text
     is its distinct shingles of ``width`` words (the whole sequence as one for a
     shorter text).  Two texts link when ``100 * shared >= percent * union``.
     ``class_id`` is the smallest id with an equal set, ``component_id`` the
-    smallest id that links reach, ``n_links`` the number of links to other sets
-    that were needed to connect it.
+    smallest id that links reach, ``n_links`` the number of other sets that link
+    with its own (left out without ``count_links``).
 
     A null or empty text, or one without words, has no shingles and links with
     nothing: its ids are its own.  Repeated rows stay and are alike; a row
@@ -264,7 +330,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     hubs = hubs.select("bucket", F.col("hub.set_id").alias("set_id"), F.col("hub.n").alias("n"), F.col("hub.reach").alias("reach"))
     spokes = members.alias("m").join(hubs.alias("h"), "bucket").where(F.col("m.set_id") != F.col("h.set_id"))
     spokes = spokes.where(fits("m", "h")).select(F.col("m.set_id").alias("a"), F.col("h.set_id").alias("b"))
-    near = _verified(docs, signed, spokes, width, percent)
+    near, elements = _verified(docs, signed, spokes, width, percent)
     first = components(near).withColumnRenamed("node", "set_id")
     # What is left: members of one bucket in several components.  The largest
     # component of a bucket is met by the others, never by itself.
@@ -282,10 +348,13 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     pairs = rest.where(fits("m", "o")).select(
         F.least("m.set_id", "o.set_id").alias("a"), F.greatest("m.set_id", "o.set_id").alias("b")
     )
-    far = _verified(docs, signed, pairs, width, percent)
+    far, more = _verified(docs, signed, pairs, width, percent)
     links = near.union(far)
     linked = components(links).withColumnsRenamed({"node": "set_id", "component": "group"})
-    ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    held = [x for x in (elements, more) if x is not None]
+    ends = linked.select("set_id", F.lit(0).cast("long").alias("n_links"))
+    if count_links and held:
+        ends = _count_links(linked, held[0].union(held[-1]) if len(held) > 1 else held[0], percent)
     classes = signed.where("n > 0").groupBy("set_id", "check").agg(F.min("doc_id").alias("class_id"))
     classes = classes.join(linked, "set_id", "left").join(ends, "set_id", "left")
     alone = F.col("group").isNull()
@@ -294,7 +363,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     lowest = classes.groupBy("group", "part").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(lowest, ["group", "part"]).drop("group", "part")
     # Copies are many rows of one key; adaptive execution splits them.
-    return signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id", "check").join(
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "set_id", "check").join(
         classes, ["set_id", "check"], "left"
     ).select(
         "doc_id",
@@ -303,3 +372,4 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "doc_id").alias("component_id"),
     )
+    return out if count_links else out.drop("n_links")

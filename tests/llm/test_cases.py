@@ -277,3 +277,25 @@ def test_language_model_against_all_counts(make, monkeypatch, cut):
     got = {r.doc_id: r.score for r in lm.score_documents(make(rows), F.col("doc_id") % 4 != 0).collect()}
     assert set(got) == set(want)
     assert max(abs(got[i] - want[i]) / len(split[i]) for i in want) < 0.03
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_jaccard_counts_every_link(make, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rng = np.random.default_rng(block)
+    texts = []
+    for size, members, edits in ((60, 30, 2), (40, 12, 4), (25, 2, 1), (80, 3, 0)):
+        base = [f"w{rng.integers(900)}" for _ in range(size)]
+        for _ in range(members):
+            words = list(base)
+            for _ in range(rng.integers(0, edits + 1)):
+                words[rng.integers(size)] = f"w{rng.integers(900)}"
+            texts.append(" ".join(words))
+    sets = [frozenset(jaccard.shingles(t).tolist()) for t in texts]
+    want = {
+        i: sum(100 * len(a & b) >= 85 * len(a | b) for b in set(sets) if b != a) for i, a in enumerate(sets)
+    }
+    docs = make(list(enumerate(texts)))
+    assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == want
+    assert max(want.values()) > 7
+    assert "n_links" not in jaccard.jaccard_components(docs, count_links=False).columns
