@@ -189,7 +189,10 @@ def _signed(docs: DataFrame, width: int, percent: int, levels: np.ndarray, bound
 
 
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``set_id, n, elements`` of the sets of the documents ``wanted`` (``doc_id``), from their texts."""
+    """``set_id, n, elements`` of the sets ``wanted`` (``set_id, doc_id``), from the texts of these documents.
+
+    Sets that only rows without an id hold are found among all such rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,8 +203,13 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 ["set_id", "n", "elements"],
             )
 
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-    return stored(texts.select("text").mapInArrow(run, "set_id long, n long, elements binary"), "set-elements")
+    schema = "set_id long, n long, elements binary"
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL")
+    named = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(run, schema)
+    nameless = texts.where("doc_id IS NULL").select("text").mapInArrow(run, schema)
+    nameless = nameless.join(wanted.where("doc_id IS NULL").select("set_id"), "set_id", "left_semi")
+    nameless = nameless.groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
+    return stored(named.union(nameless), "set-elements")
 
 
 def _verified(
@@ -213,7 +221,7 @@ def _verified(
         return pairs, None
     ends = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = signed.select("set_id", "check", "doc_id").join(ends, "set_id", "left_semi").groupBy("set_id", "check")
-    wanted = wanted.agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    wanted = stored(wanted.agg(F.min("doc_id").alias("doc_id")).select("set_id", "doc_id"), "wanted-sets")
     elements = _elements(docs, wanted, width)
 
     @F.pandas_udf("boolean")

@@ -299,3 +299,14 @@ def test_jaccard_counts_every_link(make, monkeypatch, block):
     assert {r.doc_id: r.n_links for r in jaccard.jaccard_components(docs).collect()} == want
     assert max(want.values()) > 7
     assert "n_links" not in jaccard.jaccard_components(docs, count_links=False).columns
+
+
+def test_jaccard_bridge_without_an_id(make):
+    base = [f"w{i}" for i in range(60)]
+    ends = [" ".join(["a", *base[1:]]), " ".join(base), " ".join([*base[:-4], "p", "x", "y", "z"])]
+    sets = [set(jaccard.shingles(t).tolist()) for t in ends]
+    linked = [100 * len(a & b) >= 85 * len(a | b) for a, b in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))]
+    assert linked == [True, True, False]
+    rows = [(1, ends[0]), (None, ends[1]), (None, ends[1]), (2, ends[2])]
+    got = jaccard.jaccard_components(make(rows)).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 2), (0, 1, 2), (1, 1, 1), (2, 1, 1)]
