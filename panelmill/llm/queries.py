@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.llm import decontaminate, hilbert, jaccard, lines, lm, packing, quality, secrets, token_files, topk
+from panelmill.llm import (
+    conversations,
+    decontaminate,
+    hilbert,
+    jaccard,
+    lines,
+    lm,
+    packing,
+    private,
+    quality,
+    runs,
+    secrets,
+    token_files,
+    topk,
+)
 from panelmill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +191,89 @@ def op10_lm_scores(spark, sf_dir):
     held_out = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
     scored = lm.score_documents(read_table(spark, sf_dir, "documents"), learn=~held_out)
     return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
+def planted_repeats(doc_id: int, n: int) -> np.ndarray | None:
+    """Word order of a document that repeats a stretch up to its end; one document in ten is chosen by its id."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    at = np.arange(n)
+    return np.where(at < a, at, a + (at - a) % p)
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = runs.find_runs(docs, least_words=6, least_periods=4, arrange=planted_repeats)
+    # Ratios are compared by cross products; equal ones keep their order.
+    best = F.expr(
+        """array_sort(runs, (a, b) -> CASE
+             WHEN a.length * b.period > b.length * a.period THEN -1
+             WHEN a.length * b.period < b.length * a.period THEN 1
+             WHEN a.start <> b.start THEN CAST(sign(a.start - b.start) AS INT)
+             ELSE CAST(sign(a.period - b.period) AS INT) END)"""
+    )
+    found = found.withColumn("first", F.get(best, F.lit(0)))
+    listed = F.array_join(
+        F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), ""
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "first.start",
+        "first.length",
+        "first.period",
+        F.expr("first.length * 1000 DIV first.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def damaged(conversations_table: DataFrame) -> DataFrame:
+    """Messages damaged by a checksum of their conversation and turn; a dropped one stays as a row that is not ``present``."""
+
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    kind = F.crc32(F.encode(F.concat(shown("conv_id"), F.lit(":"), shown("turn")), "utf-8")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(shown("text"), ".!?", "")).otherwise(shown("text"))
+    rows = conversations_table.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(shown("role")).alias("role"),
+        text.alias("text"),
+        (kind != 0).alias("present"),
+        F.when(kind == 3, 2).otherwise(1).alias("copies"),
+    )
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+
+
+@query
+def op12_conversation_repair(spark, sf_dir):
+    rows = damaged(read_table(spark, sf_dir, "conversations"))
+    plans = conversations.plan_repairs(rows, present=F.col("present"))
+    return conversations.repaired_digests(rows, plans, present=F.col("present"))
+
+
+def span_digest(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query
+def op13_personal_data(spark, sf_dir):
+    found = private.find_private(read_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*private.KINDS))
+    return found.select(
+        "doc_id",
+        *[count(k) for k in private.KINDS],
+        F.sha2(span_digest(base), 256).alias("base_sha256"),
+        span_digest(F.col("spans")).alias("spans"),
+    )
