@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelmill.llm.common import stored
+
 # Kinds in their order, and what a rule finds of each.
 KINDS = ("email", "ip", "card", "phone")
 RULES = {
@@ -179,6 +181,7 @@ def labelled_windows(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, windows: i
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["shapes", "tags"])
 
     found = docs.select("doc_id", "text").where(low).mapInArrow(run, "shapes string, tags string").distinct()
+    found = stored(found, "windows")
     hashed = F.xxhash64("shapes", "tags")
     positive = found.where(F.col("tags").rlike("[1-9]")).orderBy(hashed, "shapes", "tags").limit(windows)
     negative = found.where(~F.col("tags").rlike("[1-9]")).orderBy(hashed, "shapes", "tags").limit(windows)
@@ -279,14 +282,19 @@ def train(windows: list[tuple[list[str], list[int]]], rounds: int = 80, step: fl
 def viterbi(emit: np.ndarray, pairs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Best tags of chains laid end to end, each beginning at one of ``starts``; tag 0 stands before and behind each.
 
-    A word whose score for tag 0 is ahead of each other tag's by more than tags
-    around it could ever give back has tag 0 on a best path, whatever its
-    neighbours are: chains are cut there, and only what lies between such words
-    is decoded, stretches of one length at a time.
+    A best path leaves tag 0 only for stretches that gain by it.  What a stretch
+    could gain at most is a sum over its words and a constant, so running sums
+    tell which words lie in no stretch with a gain: these have tag 0, and only
+    what lies between them is decoded, stretches of one length at a time.
     """
-    back = (pairs[:, :, None] + pairs[None, :, :]) - (pairs[:, :1, None] + pairs[None, :1, :])
-    most = back.max(axis=(0, 2))
-    sure = (emit[:, :1] - emit[:, 1:] >= most[1:]).all(axis=1)
+    stay = pairs[0, 0]
+    along = pairs[1:, 1:].max() - stay
+    gain = (emit[:, 1:].max(axis=1) - emit[:, 0]).astype(np.float64) + along
+    ends = pairs[0, 1:].max() + pairs[1:, 0].max() - 2 * stay - along
+    sums = np.concatenate([[0.0], np.cumsum(gain)])
+    before = sums[1:] - np.minimum.accumulate(sums[:-1])
+    behind = np.maximum.accumulate(sums[:0:-1])[::-1] - sums[:-1]
+    sure = before + behind - gain + ends < -1e-3
     out = np.zeros(len(emit), np.int8)
     open_ = np.flatnonzero(~sure)
     if not len(open_):
