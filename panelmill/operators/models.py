@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.operators.sampling import split_by_time
@@ -22,6 +26,10 @@ PRICE_MODEL = {"label": "LBMP_avg", "prediction": "predicted_price", "depth": 8,
 DEMAND_MODEL = {"label": "Load_MW", "prediction": "predicted_demand", "depth": 8, "rounds": 100, "step": 0.1}
 SPIKE_MODEL = {"label": "is_price_spike", "prediction": "predicted_spike", "depth": 10, "trees": 100}
 Z_95, Z_OTHER, BASE_ERROR = 1.96, 1.645, 20.0
+# Fits that run at once: each keeps the cluster busy only between its jobs, one per tree level.
+FITS_AT_ONCE = 4
+
+T = TypeVar("T")
 
 
 def assembler(features: Sequence[str], output: str = "features_raw") -> VectorAssembler:
@@ -89,6 +97,43 @@ def fit(train: DataFrame, features: Sequence[str], estimator: Estimator) -> Pipe
         cached.unpersist()
 
 
+def run_together(
+    spark: SparkSession, work: Mapping[str, Callable[[], T]], *, at_once: int = FITS_AT_ONCE
+) -> dict[str, T]:
+    """Results of independent pieces of work, run from several threads.
+
+    Threads inherit the caller's local properties (job group, tags); each piece
+    has a scheduler pool of its own name, so that under ``spark.scheduler.mode``
+    FAIR none waits for all jobs of another.  The first error is raised once the
+    others have ended.
+    """
+    context = spark.sparkContext
+
+    def pooled(name: str) -> T:
+        context.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            return work[name]()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    if not work:
+        return {}
+    # Each piece gets a copy of the local properties of its own.
+    pieces = [inheritable_thread_target(spark)(partial(pooled, name)) for name in work]
+    with ThreadPool(min(at_once, len(pieces))) as threads:
+        return dict(zip(work, threads.map(lambda piece: piece(), pieces, chunksize=1), strict=True))
+
+
+def fit_together(
+    train: DataFrame, jobs: Mapping[str, tuple[Sequence[str], Estimator]], *, at_once: int = FITS_AT_ONCE
+) -> dict[str, PipelineModel]:
+    """One fitted model per name in ``jobs`` (features, estimator), several at once over one stored table."""
+    columns = [c for features, estimator in jobs.values() for c in (*features, estimator.getLabelCol())]
+    shared = materialize(train.select(*dict.fromkeys(columns)), "training")
+    work = {name: lambda f=features, e=estimator: fit(shared, f, e) for name, (features, estimator) in jobs.items()}
+    return run_together(train.sparkSession, work, at_once=at_once)
+
+
 def score(model: PipelineModel | None, df: DataFrame) -> DataFrame:
     """Predictions next to the input columns, without the intermediate vectors."""
     if model is None:
@@ -168,6 +213,7 @@ def forecast_horizon(
     ties: Sequence[str] = (),
     grain: str = "hour",
     train_share: float = 0.8,
+    at_once: int = FITS_AT_ONCE,
     **hyper: object,
 ) -> DataFrame:
     """Direct multi-step forecasts: one model per horizon, trained on the value h rows ahead.
@@ -175,7 +221,9 @@ def forecast_horizon(
     Returns (ts, entity, horizon, actual, predicted) for the rows after the
     training span; ``actual`` is NULL where the future is not in the panel.  A
     row is trained on only if its label lies in the training span, too.  The
-    features are assembled and stored once for all horizons.
+    features are assembled and stored once for all horizons; ``at_once`` of them
+    are fitted at the same time.  Rows of equal ``ts`` need ``ties`` to have an
+    order.  ``forecast.recursive_forecast`` does with one model.
     """
     panel = materialize(panel, "panel")
     ahead = lags(target, horizons, name=lambda h: f"_ahead_{h}")
@@ -186,14 +234,16 @@ def forecast_horizon(
     train, test = split_by_time(materialize(labelled, "horizons"), ts=ts, train_share=train_share)
     last = train.agg(F.max(ts)).scalar()
     train, test = (materialize(assembler(features).transform(part), "assembled") for part in (train, test))
-    parts = []
-    for h in horizons:
+
+    def one(h: int) -> DataFrame:
         label = f"_ahead_{h}"
         known = F.col(label).isNotNull() & (F.col(f"_when_{h}") <= last)
         estimator = demand_regressor(label=label, prediction="predicted", **hyper)
-        model = fit(train.where(known), features, estimator)
-        scored = score(model, test)
-        parts.append(scored.select(ts, entity, F.lit(h).alias("horizon"), F.col(label).alias("actual"), "predicted"))
+        scored = score(fit(train.where(known), features, estimator), test)
+        return scored.select(ts, entity, F.lit(h).alias("horizon"), F.col(label).alias("actual"), "predicted")
+
+    work = {f"horizon-{h}": lambda h=h: one(h) for h in horizons}
+    parts = list(run_together(panel.sparkSession, work, at_once=at_once).values())
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -18,7 +18,7 @@ def fit_models(
     boost: Mapping[str, object] | None = None,
     forest: Mapping[str, object] | None = None,
 ) -> dict[str, PipelineModel]:
-    """One fitted model per target in ``features`` (price, demand, spike).
+    """One fitted model per target in ``features`` (price, demand, spike), all fitted at once over one stored table.
 
     ``boost`` and ``forest`` override the default hyper-parameters.  The demand
     column is named ``predicted_load``, as in the combined predictions table.
@@ -29,7 +29,8 @@ def fit_models(
         "demand": lambda: models.demand_regressor(prediction="predicted_load", **boost),
         "spike": lambda: models.spike_classifier(**forest),
     }
-    return {target: models.fit(train, names, estimators[target]()) for target, names in features.items()}
+    jobs = {target: (names, estimators[target]()) for target, names in features.items()}
+    return models.fit_together(train, jobs)
 
 
 def predictions_table(fitted: Mapping[str, PipelineModel], df: DataFrame) -> DataFrame:

@@ -399,6 +399,33 @@ def predictions(p_price: str, p_load: str, p_spike: str) -> str:
         FROM flat)"""
 
 
+# Means of the training rows by hour, a rule over the hour, and whether the price is above 20.
+HOUR_MODELS = f"""by_hour AS (SELECT hour AS h, avg("LBMP_avg") AS p, avg("Load_MW") AS l FROM panel
+    WHERE {share()} < 80 GROUP BY hour),
+naive AS (SELECT "timestamp", "Name", "LBMP_avg", "Load_MW", p AS predicted_price, l AS predicted_load,
+    CASE WHEN hour BETWEEN 7 AND 22 THEN 1 ELSE 0 END AS predicted_spike,
+    CASE WHEN "LBMP_avg" > 20 THEN 1 ELSE 0 END AS is_price_spike
+    FROM panel JOIN by_hour ON hour = h WHERE {share()} >= 80)"""
+
+
+def hour_reports(panel: str) -> str:
+    scored = CLASSIFICATION.split("\nSELECT")
+    ranked = AUC.replace('round("LBMP_avg_lag_1", 4)', "predicted_spike").split("\nSELECT")
+    names = {"price_predictor": ('"LBMP_avg"', "predicted_price"), "demand_forecaster": ('"Load_MW"', "predicted_load")}
+    rows = [
+        f"SELECT '{model}' AS model_name, (SELECT count(*) FROM naive) AS test_size, CAST(1 AS BIGINT) AS features, "
+        f"'{metric}' AS metric, {r6(expression, 'value')} FROM naive"
+        for model, sides in names.items()
+        for metric, expression in measures(*sides).items()
+    ]
+    spike = "SELECT 'spike_detector', (SELECT count(*) FROM naive), CAST(1 AS BIGINT), "
+    rows += [f"{spike}'{m}', {m} FROM marks" for m in ("accuracy", "precision", "recall", "f1")]
+    rows += [f"{spike}'auc_roc', auc_roc FROM area", f"{spike}'spike_rate', {r6('avg(is_price_spike)', 'value')} FROM naive"]
+    marks = f"{scored[0]},\nmarks AS (SELECT{scored[1]})"
+    area = f"{ranked[0]},\narea AS (SELECT{ranked[1]})"
+    return f"WITH {panel},\n{HOUR_MODELS},\n{marks},\n{area}\n" + "\nUNION ALL\n".join(rows)
+
+
 def oracle_sql() -> dict[str, str]:
     feeds = HOURLY_FEEDS
     cleaned = f"{HOURLY_FEEDS},{CLEANED}"
@@ -709,6 +736,33 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             {r6("predicted_price - 1.96 * 20.0::DOUBLE", "price_lower")},
             {r6("predicted_price + 1.96 * 20.0::DOUBLE", "price_upper")} FROM naive""",
         ),
+        "forecast_horizon": plain(
+            panel,
+            f"""SELECT o."timestamp", o."Name", o."PTID", CAST(h.horizon AS INTEGER) AS horizon,
+            o."timestamp" + to_hours(CAST(h.horizon AS INTEGER)) AS target_time, {r6('p."Load_MW"', "actual")}, true AS forecast
+            FROM (SELECT *, row_number() OVER (PARTITION BY "Name" ORDER BY "timestamp", "PTID") AS place FROM panel) o
+            CROSS JOIN range(1, 25) AS h(horizon)
+            LEFT JOIN panel p ON p."Name" = o."Name" AND p."PTID" = o."PTID"
+                AND p."timestamp" = o."timestamp" + to_hours(CAST(h.horizon AS INTEGER))
+            WHERE o.place >= 24 AND {hours.replace('"timestamp"', 'o."timestamp"')} >= {cut}""",
+        ),
+        "ml_score_by_hour": plain(
+            f"{panel},\n{HOUR_MODELS}",
+            f"""SELECT "timestamp", "Name", {r6('"LBMP_avg"', "LBMP_avg")}, {r6('"Load_MW"', "Load_MW")},
+            {r6("predicted_price", "predicted_price")}, {r6("predicted_load", "predicted_load")}, predicted_spike,
+            {r6("CAST(predicted_spike AS DOUBLE)", "spike_chance")} FROM naive""",
+        ),
+        "ml_reports_by_hour": hour_reports(panel),
+        "feature_importance_by_hour": plain(
+            panel,
+            f"""SELECT feature, model, {r6("importance", "importance")} FROM (SELECT count(*) AS n FROM panel),
+            (VALUES ('constant', 0.0::DOUBLE), ('hour', 1.0::DOUBLE)) AS f(feature, importance),
+            (VALUES ('price'), ('spike')) AS m(model) WHERE n > 0""",
+        ),
+        "top_features_by_hour": plain(
+            panel,
+            f"""SELECT 'hour' AS feature, {r6("1.0::DOUBLE", "importance")} FROM (SELECT count(*) AS n FROM panel) WHERE n > 0""",
+        ),
         "model_save_load": plain(
             feats, f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM feats WHERE {share()} >= 80"
         ),
