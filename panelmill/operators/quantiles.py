@@ -1,11 +1,12 @@
-"""Exact percentiles without collecting a group.
+"""Exact percentiles without collecting a group, by radix selection.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation
-buffer, which a hot key or a global percentile outgrows.  Here three passes over
-(key, value) narrow each percentile down to a few rows: an approximate sketch
-proposes cut points, exact counts locate the slot that holds the wanted rank,
-and only the values of that slot are ordered.  The sketch decides speed only;
-ranks come from counts.
+buffer, which a hot key or a global percentile outgrows.  Here values become
+64-bit keys of the same order in one stored table.  A pass counts the rows of
+each next digit of sixteen bits and keeps the slots that hold a wanted rank; a
+key has four digits, so no distribution needs more than four passes, and no
+pass has more than 65,536 counts per slot.  Once the slots are small, their
+values are ordered.  The input is read once.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelmill.runtime import attach, store
+from panelmill.functions.ordering import DIGITS, leading, sort_key
+from panelmill.runtime import attach, materialize
 
-SKETCH_ACCURACY = 10_000
-STRIPES = 1024
+# Rows of a slot that one task may order; a larger slot is divided by its next digit.
+SLOT_ROWS = 100_000
 
 
 def exact_percentiles(
@@ -29,77 +31,56 @@ def exact_percentiles(
     named: Mapping[str, float],
     *,
     alongside: Mapping[str, Column] | None = None,
+    needs: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key with a linearly interpolated percentile per entry of ``named``.
 
     Nulls and NaN are ignored; a key without values gets NULL.  ``keys`` may be
     empty for percentiles of the whole column.  ``alongside`` adds ordinary
-    aggregates of ``df``, computed in the first pass.
+    aggregates over ``value`` and the columns that it ``needs``.
     """
     alongside = dict(alongside or {})
-    groups = [f"_g{i}" for i in range(len(keys))]
+    groups = [f"_g{i}" for i in range(len(keys))] or ["_g0"]
+    grouped = [F.col(k).alias(g) for k, g in zip(keys, groups)] or [F.lit(0).alias("_g0")]
     x = F.col(value).cast("double")
     usable = F.when(~F.isnan(x), x)
-
-    slack = 2.0 / SKETCH_ACCURACY
-    probes = sorted({min(1.0, max(0.0, p + side)) for p in named.values() for side in (-slack, slack)})
-    sketch = df.groupBy(*[F.col(k).alias(g) for k, g in zip(keys, groups)]).agg(
-        F.count(usable).alias("n"),
-        F.min(usable).alias("low"),
-        F.max(usable).alias("high"),
-        F.percentile_approx(usable, probes, SKETCH_ACCURACY).alias("cuts"),
-        *[column.alias(name) for name, column in alongside.items()],
-    )
-    sketch, rows = store(sketch, "sketch")
-
-    values = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)], usable.alias("x"))
-    located = _beside(values.where(F.col("x").isNotNull()), sketch, rows, groups, ["low", "high", "cuts"])
-    located = located.select(*groups, "x", _slot(len(probes)).alias("slot"))
-
-    # At most (len(probes) + 1) * STRIPES rows per key: bounded whatever the key holds.
-    sizes = located.groupBy(*groups, "slot").agg(F.count(F.lit(1)).alias("size"))
-    upto = F.sum("size").over(W.partitionBy(*groups).orderBy("slot"))
-    ranked = _beside(sizes.withColumn("skipped", upto - F.col("size")), sketch, rows, groups, ["n"])
-    holds = F.exists(_ranks(named), lambda r: (r >= F.col("skipped")) & (r < F.col("skipped") + F.col("size")))
-    wanted = ranked.where(holds).select(*groups, "slot", "skipped", "n")
-
-    inside = attach(located, wanted, [*groups, "slot"]).groupBy(*groups, "slot", "skipped", "n", "x").agg(
-        F.count(F.lit(1)).alias("copies")
-    )
-    upto = F.sum("copies").over(W.partitionBy(*groups, "slot").orderBy("x"))
-    steps = inside.withColumn("past", F.col("skipped") + upto).withColumn("first", F.col("past") - F.col("copies"))
-    found = steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
-    if not keys:
-        return _beside(found, sketch, rows, [], list(alongside)).select(*alongside, *named)
-    every = sketch.select(*groups, *alongside).alias("every")
-    keyed = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
-    result = every.join(found.alias("found"), keyed, "left").select("every.*", *named)
-    return result.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *named)
-
-
-def _beside(
-    df: DataFrame, sketch: DataFrame, rows: int, groups: Sequence[str], fields: Sequence[str]
-) -> DataFrame:
-    """Sketch fields next to each row: by key, or as a scalar where there is no key."""
-    if groups:
-        return attach(df, sketch.select(*groups, *fields), groups, rows=rows)
-    if not fields:
-        return df
-    only = sketch.select(F.struct(*fields).alias("only")).scalar()
-    return df.withColumns({f: only.getField(f) for f in fields})
-
-
-def _slot(cuts: int) -> Column:
-    """Order-preserving slot number: the interval between cuts, then an equal-width stripe in it."""
-    x = F.col("x")
-    interval = sum((F.when(x > F.element_at("cuts", i + 1), 1).otherwise(0) for i in range(cuts)), F.lit(0))
-    floor = F.when(interval == 0, F.col("low")).otherwise(F.element_at("cuts", F.greatest(interval, F.lit(1))))
-    top = F.when(interval == cuts, F.col("high")).otherwise(
-        F.element_at("cuts", F.least(interval + 1, F.lit(cuts)))
-    )
-    share = F.when(top > floor, (x - floor) / (top - floor)).otherwise(F.lit(0.0))
-    stripe = F.least(F.greatest(F.floor(share * STRIPES), F.lit(0)), F.lit(STRIPES - 1))
-    return (interval * STRIPES + stripe).cast("int")
+    kept = [F.col(c) for c in dict.fromkeys([value, *needs])]
+    table = materialize(df.select(*grouped, *kept, usable.alias("_x"), sort_key(usable).alias("_key")), "values")
+
+    totals = [F.min("_x").alias("_low"), F.max("_x").alias("_high"), *[c.alias(n) for n, c in alongside.items()]]
+    every = table.groupBy(*groups).agg(*totals) if keys else table.agg(*totals).withColumn("_g0", F.lit(0))
+    searched = {name: p for name, p in named.items() if 0 < p < 1}
+    if searched:
+        found = _searched(table.select(*groups, "_x", "_key").where("_key IS NOT NULL"), groups, searched)
+        matched = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
+        every = every.alias("every").join(found.alias("found"), matched, "left").select("every.*", *searched)
+    ends = {name: F.col("_low" if p <= 0 else "_high") for name, p in named.items() if name not in searched}
+    shown = [ends[n].alias(n) if n in ends else F.col(n) for n in named]
+    return every.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *shown)
+
+
+def _searched(values: DataFrame, groups: Sequence[str], named: Mapping[str, float]) -> DataFrame:
+    """Percentiles strictly between 0 and 1 per group with values."""
+    zero = F.lit(0).cast("long")
+    inside = values.withColumns({"_slot": zero, "skipped": zero, "n": zero})
+    for digits in range(1, DIGITS + 1):
+        place = [*groups, "_slot", "skipped", "n"]
+        counts = inside.groupBy(*place, leading(F.col("_key"), digits).alias("next")).agg(F.count(F.lit(1)).alias("size"))
+        if digits == 1:
+            counts = counts.withColumn("n", F.sum("size").over(W.partitionBy(*groups)))
+        upto = F.sum("size").over(W.partitionBy(*groups, "_slot").orderBy("next"))
+        ranked = counts.withColumn("skipped", F.col("skipped") + upto - F.col("size"))
+        holds = F.exists(_ranks(named), lambda r: (r >= F.col("skipped")) & (r < F.col("skipped") + F.col("size")))
+        slots = materialize(ranked.where(holds).select(*groups, F.col("next").alias("_slot"), "skipped", "n", "size"), "slots")
+        facts = slots.agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("largest")).first()
+        here = values.withColumn("_slot", leading(F.col("_key"), digits))
+        inside = attach(here, slots.drop("size"), [*groups, "_slot"], rows=facts["rows"])
+        if (facts["largest"] or 0) <= SLOT_ROWS:
+            break
+    counted = inside.groupBy(*groups, "_slot", "skipped", "n", F.col("_x").alias("x")).agg(F.count(F.lit(1)).alias("copies"))
+    upto = F.sum("copies").over(W.partitionBy(*groups, "_slot").orderBy("x"))
+    steps = counted.withColumn("past", F.col("skipped") + upto).withColumn("first", F.col("past") - F.col("copies"))
+    return steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
 
 
 def _ranks(named: Mapping[str, float]) -> Column:
