@@ -44,6 +44,32 @@ def test_auc_matches_pair_counting(scored):
     assert auc == pytest.approx(wins / len(positive) / len(negative), abs=1e-9)
 
 
+def test_auc_edge_cases(spark):
+    def area(rows):
+        return metrics.roc_auc(spark.createDataFrame(rows, "y int, s double"), "y", "s").first().auc_roc
+
+    nan, inf = float("nan"), float("inf")
+    assert area([(1, 0.5), (1, 0.7)]) is None and area([(0, 0.5)]) is None
+    assert metrics.roc_auc(spark.createDataFrame([], "y int, s double"), "y", "s").first().auc_roc is None
+    assert area([(1, 0.5), (0, 0.5)]) == 0.5 and area([(1, 0.0), (0, -0.0)]) == 0.5
+    assert area([(1, 2.0), (0, 1.0), (None, 9.0), (0, None)]) == 1.0
+    assert area([(1, -1e-300), (0, -1e300), (0, -inf), (1, inf), (0, 5e-324)]) == pytest.approx(5 / 6)
+    assert area([(1, nan), (0, inf)]) == 1.0
+    close = [(i % 2, 1.0 + i * 2.0**-52) for i in range(100)]
+    assert area(close) == pytest.approx(sum(i // 2 + 1 for i in range(1, 100, 2)) / 2500)
+
+
+def test_auc_is_planned_without_a_job(spark, scored):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("auc-plan", "planning only")
+    try:
+        plan = metrics.roc_auc(scored, "label", "score")._jdf.queryExecution().executedPlan().toString()
+        assert not tracker.getJobIdsForGroup("auc-plan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "Window" in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
 def test_zero_actual_counts_as_zero_percent(spark):
     df = spark.createDataFrame([(0.0, 5.0), (10.0, 5.0)], "y double, p double")
     assert metrics.regression_metrics(df, "y", "p").first().mape == 25.0
