@@ -456,7 +456,7 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
     )
     hours = """(date_diff('hour', TIMESTAMP '1970-01-01', "timestamp"))"""
     cut = f"(SELECT min{hours} + floor((max{hours} - min{hours} + 1) * 0.8) FROM panel)"
-    return {
+    found = {
         # sources and sinks
         "scan_price_csv": plain(
             feeds,
@@ -767,3 +767,7 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             feats, f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM feats WHERE {share()} >= 80"
         ),
     }
+    # Increments give what one run over all files gives.
+    found["rollup_price_incremental"] = found["rollup_price_hourly_full"]
+    found["rollup_load_incremental"] = found["rollup_load_hourly_tz"]
+    return found

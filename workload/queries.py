@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelmill.functions.columns import calendar, parse_wall_clock, wall_clock_text
-from panelmill.operators import cleaning, forecast, metrics, models, reports, rollup, sampling
+from panelmill.operators import cleaning, forecast, increments, metrics, models, reports, rollup, sampling
 from panelmill.operators import features as feat
 from panelmill.operators.series import change, lags, rolling, with_series_columns
 from panelmill.plans.modelling import evaluate_models, fit_models, predictions_table
@@ -848,3 +848,44 @@ def model_save_load(spark, sf_dir):
     return pairs.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("before") != F.col("after")).alias("mismatches")
     )
+
+
+# --- increments ---------------------------------------------------------------
+
+
+def _parts(df: DataFrame, root: str) -> list[str]:
+    """A feed as three folders of files by a checksum of its rows, so that every hour has late rows."""
+    part = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(3))
+    folders = [f"{root}/{i}" for i in range(3)]
+    for i, folder in enumerate(folders):
+        df.where(part == i).write.parquet(folder)
+    return folders
+
+
+def _taken_in(spark: SparkSession, df: DataFrame, **how) -> increments.RollupStore:
+    """Three increments, folders seen again, and a compaction between the second and the third."""
+    root = scratch_path(spark, "increments")
+    store = increments.RollupStore(spark, f"{root}/store", **how)
+    folders = _parts(df, f"{root}/feed")
+    for i, folder in enumerate(folders):
+        store.take(f"{folder}/*.parquet", lambda paths: spark.read.schema(df.schema).parquet(*paths))
+        store.take(f"{root}/feed/{{{','.join(str(j) for j in range(i + 1))}}}/*.parquet", lambda paths: df.limit(0))
+        if i == 1:
+            store.compact()
+    return store
+
+
+@query
+def rollup_price_incremental(spark, sf_dir):
+    measures = ["LBMP", "Marginal_Cost_Losses", "Marginal_Cost_Congestion"]
+    rolled = _taken_in(spark, feeds.hourly_price(spark, sf_dir), measures=measures).rollup()
+    averages = [f"{m}_avg" for m in measures]
+    spread = ["LBMP_min", "LBMP_max", "LBMP_std", F.col("rows").alias("price_readings")]
+    return settled(rolled.select(*KEYS, "PTID", *averages, *spread))
+
+
+@query
+def rollup_load_incremental(spark, sf_dir):
+    store = _taken_in(spark, feeds.hourly_load(spark, sf_dir), measures=["Load"], label="Time Zone")
+    rolled = store.rollup()
+    return settled(rolled.select(*KEYS, "PTID", F.col("Load_avg").alias("Load_MW"), F.col("Time Zone").alias("Time_Zone")))
