@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import WordHashes, stored, words
+from panelmill.llm.common import WordHashes, filtered_joins, stored, words
 from panelmill.llm.components import components
 
 WIDTH = 4
@@ -43,7 +43,6 @@ BLOCK_ELEMENTS = 1 << 20
 # What visiting an inverted list costs, in rows written for a subset.
 VISIT = 4
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-_HASHES = WordHashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,12 +50,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text, ascending; a shorter text is one shingle, an empty one none."""
+def shingles(text: str | None, width: int = WIDTH, known: WordHashes | None = None) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, ascending; a shorter text is one shingle, an empty one none.
+
+    ``known`` remembers the hashes of words from one text to the next.
+    """
     found = words(text)
     if not found:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    known = WordHashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     if len(hashes) < width:
         return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes))], np.uint64)
     grams = hashes[: len(hashes) - width + 1]
@@ -92,10 +95,10 @@ def _sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         sizes: dict[int, int] = {}
-        held, many = [], 0
+        held, many, known = [], 0, WordHashes()
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                found = shingles(text, width)
+                found = shingles(text, width, known)
                 n = len(found) if len(found) < 100_000 else len(found) // 10_000 * 10_000
                 sizes[n] = sizes.get(n, 0) + 1
                 held.append(found >> np.uint64(64 - SKETCH_BITS))
@@ -151,10 +154,11 @@ def _signed(docs: DataFrame, width: int, percent: int, levels: np.ndarray, bound
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             n, digests, buckets, reach = [], [], [], []
             for text in batch.column("text").to_pylist():
-                found = shingles(text, width)
+                found = shingles(text, width, known)
                 size = len(found)
                 n.append(size)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
@@ -191,12 +195,15 @@ def _signed(docs: DataFrame, width: int, percent: int, levels: np.ndarray, bound
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``set_id, n, elements`` of the sets ``wanted`` (``set_id, doc_id``), from the texts of these documents.
 
-    Sets that only rows without an id hold are found among all such rows.
+    Sets that only rows without an id hold are found among all such rows.  Where
+    the ids are too many to broadcast, a Bloom filter of them keeps nearly all
+    other texts out of the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            sets = [shingles(t, width) for t in batch.column("text").to_pylist()]
+            sets = [shingles(t, width, known) for t in batch.column("text").to_pylist()]
             ids = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -205,11 +212,14 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     schema = "set_id long, n long, elements binary"
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")
-    named = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(run, schema)
+    ids = wanted.where("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("wanted")).distinct()
+    ids = stored(ids, "wanted-ids").where("wanted = 1").select("doc_id")
+    named = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(run, schema)
     nameless = texts.where("doc_id IS NULL").select("text").mapInArrow(run, schema)
     nameless = nameless.join(wanted.where("doc_id IS NULL").select("set_id"), "set_id", "left_semi")
     nameless = nameless.groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
-    return stored(named.union(nameless), "set-elements")
+    with filtered_joins(docs.sparkSession):
+        return stored(named.union(nameless), "set-elements")
 
 
 def _verified(

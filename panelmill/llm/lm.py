@@ -32,7 +32,6 @@ FLUSH = 2_000_000
 # Hashes of what is no word: the start of a document and its end.
 START, END = 0x243F6A8885A308D3, 0x13198A2E03707344
 _MIX = [np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15)]
-_HASHES = WordHashes()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -177,6 +176,7 @@ def token_batches(docs: DataFrame) -> DataFrame:
         number = TaskContext.get().partitionId() << 40
         held: list[np.ndarray] = []
         doc_ids, learned, size = [], [], 0
+        known = WordHashes()
 
         def flush() -> pa.RecordBatch:
             tokens = np.concatenate([*held, np.array([START], np.uint64)])
@@ -195,7 +195,7 @@ def token_batches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("doc_id", "learned", "text")]
             for doc_id, flag, text in zip(*columns, strict=True):
-                found = list(map(_HASHES.__getitem__, words(text)))
+                found = list(map(known.__getitem__, words(text)))
                 found.append(END)
                 held.append(np.array(found, np.uint64))
                 doc_ids.append(doc_id)

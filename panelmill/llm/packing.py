@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.llm.common import stored
-from panelmill.llm.tokens import encoded
+from panelmill.llm.tokens import Encoder, encoded
 
 CAPACITY = 1024
 RANK_ROWS = 200_000
@@ -78,9 +78,10 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
     names = ["doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer)
         for batch in batches:
             out: list[tuple] = []
-            texts = encoded(tokenizer, batch.column("text"))
+            texts = encoded(encoder, batch.column("text"))
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 ids = np.concatenate([found, end]).astype("<u4").tobytes()
                 for at in range(0, len(ids), wide):

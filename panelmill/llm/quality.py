@@ -38,16 +38,14 @@ def word_shape(word: str) -> str:
 
 class ShapeHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = zlib.crc32(word_shape(word).encode())
         return value
 
 
-_SHAPES = ShapeHashes()
 
-
-def shape_features(text: str | None) -> np.ndarray:
+def shape_features(text: str | None, known: ShapeHashes | None = None) -> np.ndarray:
     """Distinct feature buckets of a text: shape n-grams of one to three words at each share that they reach.
 
     A word that repeats the one before it has a shape of its own.  Bucket 0 is
@@ -56,7 +54,8 @@ def shape_features(text: str | None) -> np.ndarray:
     words = (text or "").split()
     if not words:
         return np.zeros(1, np.int32)
-    shapes = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, len(words))
+    known = ShapeHashes() if known is None else known
+    shapes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     same = np.fromiter((a == b for a, b in zip(words, words[1:])), bool, len(words) - 1)
     shapes[1:][same] = np.uint64(1)
     grams, found = shapes, []
@@ -77,8 +76,9 @@ def featurise(docs: DataFrame) -> DataFrame:
     """``doc_id, features``: buckets as little-endian 32-bit bytes, one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ShapeHashes()
         for batch in batches:
-            found = [shape_features(t).tobytes() for t in batch.column("text").to_pylist()]
+            found = [shape_features(t, known).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "features"]
             )

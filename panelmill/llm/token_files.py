@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from panelmill.llm.common import stored
 from panelmill.llm.simple8b import read_image, write_image
-from panelmill.llm.tokens import encoded
+from panelmill.llm.tokens import Encoder, encoded
 
 IMAGE_IDS = 131_072
 IMAGES = "part int, local_start long, n_docs long, n_ids long, image binary"
@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, image_ids: i
     end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
         names, lengths, held, size, start = [], [], [], 0, 0
 
         def image() -> pa.RecordBatch:
@@ -48,7 +48,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, image_ids: i
             return pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_docs", "n_ids", "image"])
 
         for batch in batches:
-            texts = encoded(tokenizer, batch.column("text"))
+            texts = encoded(encoder, batch.column("text"))
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 names.append(doc_id)
                 held += [found, end]

@@ -2,24 +2,31 @@
 
 Both supported kinds of tokenizer cut a text before they merge, and never merge
 across a cut, so a text may be encoded in chunks that end at such cuts and the
-chunks' ids joined.  Chunks repeat, texts do not: a worker remembers the ids of
-the chunks it met, in two generations of up to ``CACHE`` each.  Cutting and
-finding the distinct chunks of a batch is left to Arrow.
+chunks' ids joined.  Chunks repeat, texts do not: an encoder, which lives as long
+as its task, remembers the ids of the chunks it met, in two generations of up to
+``CACHE`` each.  Cutting and finding the distinct chunks of a batch is left to
+Arrow.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 from collections.abc import Iterator
+from functools import cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 250_000
-BATCH_CHARS = 8_000_000
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
+CACHE = 120_000
+BATCH_CHARS = 4_000_000
 # Marks of this module: a full stop, a comma, the start of a text, and the end of a chunk.
 _STOP, _COMMA, _FIRST, _END = "\x01", "\x02", "\x03", "\x04"
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
@@ -30,18 +37,19 @@ _SIGN_RUN = r"[^\pL\pN][.,][ \n]"
 _SIGN_BEHIND_LETTER = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:-@\\[-`{-~])"
 # Upper and lower case may compose with different marks.
 _MARKED = r"[A-Z]\pM"
-_LOADED: dict[str, Encoder] = {}
-
+@cache
+def _loaded(path: str) -> tuple[Tokenizer, dict]:
+    """A tokenizer file and its content, read once per process."""
+    from tokenizers import Tokenizer
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder for a tokenizer file."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    with open(path, encoding="utf-8") as file:
+        return Tokenizer.from_file(path), json.load(file)
 
 
 class Encoder:
-    """Ids of texts as unsigned 32-bit arrays; no special tokens are added or recognised.
+    """Ids of texts as unsigned 32-bit arrays, as the library gives them; no special tokens are added.
+
+    A text that holds one of the file's added tokens, in either case, is encoded whole.
 
     Byte-level files cut before a single space and around a single line end;
     runs of white space are cut by context, so a text that holds such a run is
@@ -53,12 +61,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        self.tokenizer, spec = _loaded(path)
         cutter = spec.get("pre_tokenizer") or {}
         first = cutter.get("pretokenizers", [cutter])[0]
         self.byte_level = (
@@ -76,6 +79,9 @@ class Encoder:
         )
         # Texts that hold one of the marks are encoded whole, too.
         self.whole = f"[\x01-\x04]|{_MARKED}" if self.by_word else f"[\x01-\x03]|[{_SPACES}][{_SPACES}]"
+        added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
+        if added:
+            self.whole += "|(?i:" + "|".join(re.escape(t) for t in added) + ")"
         self.end = self.tokenizer.encode(_END, add_special_tokens=False).ids if self.by_word else []
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -153,9 +159,8 @@ class Encoder:
         return out
 
 
-def encoded(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
+def encoded(encode: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
     """The ids of each text of a string array in turn, working on about ``BATCH_CHARS`` bytes at a time."""
-    encode = encoder(path)
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):

@@ -36,7 +36,6 @@ def result(spark, small, name):
 
 def ids_of(name, texts, end):
     t = Tokenizer.from_file(tokenizer(name))
-    t.encode_special_tokens = True
     found = t.encode_batch(list(texts.values()), add_special_tokens=False)
     return {k: np.array([*e.ids, end], "<u4") for k, e in zip(texts, found, strict=True)}
 
