@@ -26,7 +26,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 JOIN_FILTER = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 33),
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": str(1 << 40),
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 26),
 }
 
 
