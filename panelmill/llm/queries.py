@@ -29,6 +29,7 @@ from panelmill.llm import (
 from panelmill.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
+BATCH_BYTES = 8 << 20
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,7 +45,12 @@ def query(fn: Query) -> Query:
 
 
 def find_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, if they do not have it installed."""
+    """Lets Python workers import this package from where the driver has it, if they do not have it installed.
+
+    Batches that go to workers are bounded by bytes as well, since ten thousand
+    long texts make a large one.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 

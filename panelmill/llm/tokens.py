@@ -167,4 +167,6 @@ def encoded(encode: Encoder, texts: pa.Array) -> Iterator[np.ndarray]:
         done = sizes[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(sizes, done + BATCH_CHARS, side="right")))
         yield from encode(texts.slice(at, end - at))
+        # The worker outlives the task, and what it keeps it keeps from its neighbours.
+        pa.default_memory_pool().release_unused()
         at = end
