@@ -70,8 +70,13 @@ def rename_vendor_columns(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({header: name for name, header in VENDOR_HEADERS.items()})
 
 
-def write_feed(df: DataFrame, path: str, columns: Sequence[str], *, malformed: str = "bad") -> None:
-    """Write a feed as vendor CSV: vendor headers, wall-clock text, ``malformed`` for no timestamp."""
+def write_feed(
+    df: DataFrame, path: str, columns: Sequence[str], *, malformed: str = "bad", quoted: bool = True
+) -> None:
+    """Write a feed as vendor CSV: vendor headers, wall-clock text, ``malformed`` for no timestamp.
+
+    Without ``quoted`` text goes out as it is, commas included.
+    """
     stamp = F.when(F.col("timestamp").isNotNull(), wall_clock_text("timestamp")).otherwise(F.lit(malformed))
     out = df.select(stamp.alias("Time Stamp"), *[F.col(f"`{c}`") for c in columns])
-    out.withColumnsRenamed(VENDOR_HEADERS).write.csv(path, header=True, quote='"')
+    out.withColumnsRenamed(VENDOR_HEADERS).write.csv(path, header=True, quote='"' if quoted else "")

@@ -767,6 +767,18 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
             feats, f"SELECT count(*) AS rows, CAST(0 AS BIGINT) AS mismatches FROM feats WHERE {share()} >= 80"
         ),
     }
+    found["scan_mixed_csv"] = plain(
+        feeds,
+        f"""SELECT {second} AS "timestamp", "Name", "PTID", {", ".join(r6(f'"{c}"', c) for c in price_doubles)}
+        FROM prices WHERE "timestamp" IS NOT NULL AND "Marginal_Cost_Losses" NOT IN (0.3, 0.7)""",
+    )
+    found["rejected_lines"] = plain(
+        feeds,
+        """SELECT CASE WHEN "Marginal_Cost_Losses" = 0.7 THEN 'fields'
+               WHEN "Marginal_Cost_Losses" = 0.3 AND "timestamp" IS NULL THEN 'timestamp+LBMP'
+               WHEN "Marginal_Cost_Losses" = 0.3 THEN 'LBMP' WHEN "timestamp" IS NULL THEN 'timestamp' ELSE 'none' END
+           AS reason, count(*) AS lines FROM prices GROUP BY 1""",
+    )
     # Increments give what one run over all files gives.
     found["rollup_price_incremental"] = found["rollup_price_hourly_full"]
     found["rollup_load_incremental"] = found["rollup_load_hourly_tz"]

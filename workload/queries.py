@@ -16,7 +16,7 @@ from panelmill.plans.modelling import evaluate_models, fit_models, predictions_t
 from panelmill.plans.panels import extended_panel, featured_panel, flat_panel, processed_panel
 from panelmill.runtime import materialize, scratch_path
 from panelmill.sources import feeds as vendor
-from panelmill.sources import tables
+from panelmill.sources import layouts, tables
 from workload import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,6 +145,34 @@ def scan_reordered_csv(spark, sf_dir):
     )
 
 
+def _mixed_price_csv(spark: SparkSession, sf_dir: str) -> str:
+    """One folder of vendor files in two column orders, with lines that are no rows: bad stamps, numbers and fields."""
+    root = scratch_path(spark, "csv")
+    price = feeds.hourly_price(spark, sf_dir)
+    late = F.hour("timestamp") >= 12
+    text = price.withColumn("LBMP", F.when(F.col("Marginal_Cost_Losses") == 0.3, "n/a").otherwise(F.col("LBMP").cast("string")))
+    short = F.col("Marginal_Cost_Losses") == 0.7
+    text = text.withColumn("Name", F.when(short, F.concat_ws(",", "Name", "Name")).otherwise(F.col("Name")))
+    vendor.write_feed(text.where(late), f"{root}/a", feeds.PRICE_FEED, quoted=False)
+    vendor.write_feed(text.where(~late | F.col("timestamp").isNull()), f"{root}/b", feeds.PRICE_FEED[::-1], quoted=False)
+    return f"{root}/{{a,b}}/*.csv"
+
+
+@query
+def scan_mixed_csv(spark, sf_dir):
+    """Good rows of a folder whose files differ in column order."""
+    rows, _ = layouts.read_checked_feed(spark, _mixed_price_csv(spark, sf_dir), vendor.PRICE_SCHEMA)
+    return settled(rows.select("timestamp", *feeds.PRICE_FEED))
+
+
+@query
+def rejected_lines(spark, sf_dir):
+    """Lines by reason next to the good rows: together all lines but the headers."""
+    rows, rejects = layouts.read_checked_feed(spark, _mixed_price_csv(spark, sf_dir), vendor.PRICE_SCHEMA)
+    counted = rejects.groupBy(F.array_join("reasons", "+").alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+    return counted.unionByName(rows.agg(F.lit("none").alias("reason"), F.count(F.lit(1)).alias("lines")))
+
+
 @query
 def parse_timestamp(spark, sf_dir):
     stamp = F.when(F.col("timestamp").isNotNull(), wall_clock_text("timestamp")).otherwise("bad").alias("stamp")
