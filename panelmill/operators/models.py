@@ -16,9 +16,10 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelmill.operators.quantiles import exact_percentiles
 from panelmill.operators.sampling import split_by_time
 from panelmill.operators.series import lags, with_series_columns
-from panelmill.runtime import materialize, shared_dir
+from panelmill.runtime import attach, materialize, shared_dir
 
 # Hyper-parameters, seed, and the half-width parts of the interval.
 SEED = 42
@@ -202,6 +203,40 @@ def with_interval(
     )
 
 
+def calibrated_half_widths(
+    held: DataFrame, actual: str, predicted: str, *, by: str, confidence: float = 0.95
+) -> DataFrame:
+    """``by, half_width``: split-conformal interval half-widths from rows that the model was not fitted to.
+
+    The k-th smallest absolute error of a group's n rows, k the whole number
+    from ``(n + 1) * confidence`` up: a fresh row of the group is covered with at
+    least that chance.  NULL, that is unbounded, for a group with too few rows.
+    Rows without both sides are left out.
+    """
+    error = F.abs(F.col(actual) - F.col(predicted))
+    # Whole millionths, so that a product such as 19 * 0.9 is not rounded up to the next rank.
+    share, ones = F.lit(round(confidence * 1_000_000)), F.lit(1_000_000)
+    place = lambda n: F.ceil((n + 1) * share / ones) - 1
+    found = exact_percentiles(
+        held.select(by, error.alias("_error")),
+        [by],
+        "_error",
+        {"half_width": lambda n: F.least(place(n), n - 1)},
+        alongside={"_rows": F.count("_error")},
+    )
+    enough = place(F.col("_rows")) < F.col("_rows")
+    return found.select(by, F.when(enough, F.col("half_width")).alias("half_width"))
+
+
+def with_calibrated_interval(
+    df: DataFrame, half_widths: DataFrame, *, by: str, predicted: str = "predicted_price", prefix: str = "price"
+) -> DataFrame:
+    """Bounds at each group's half-width; an unbounded or unknown one gives infinite bounds."""
+    out = attach(df, half_widths, [by], "left")
+    half = F.coalesce("half_width", F.lit(float("inf")))
+    return out.withColumns({f"{prefix}_lower": F.col(predicted) - half, f"{prefix}_upper": F.col(predicted) + half})
+
+
 def forecast_horizon(
     panel: DataFrame,
     features: Sequence[str],

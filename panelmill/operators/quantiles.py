@@ -11,7 +11,7 @@ values are ordered.  The input is read once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,19 +23,24 @@ from panelmill.runtime import attach, materialize
 # Rows of a slot that one task may order; a larger slot is divided by its next digit.
 SLOT_ROWS = 100_000
 
+# A share of the way from the least value to the greatest, or the zero-based place among n values.
+Place = float | Callable[[Column], Column]
+
 
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    named: Mapping[str, float],
+    named: Mapping[str, Place],
     *,
     alongside: Mapping[str, Column] | None = None,
     needs: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key with a linearly interpolated percentile per entry of ``named``.
 
-    Nulls and NaN are ignored; a key without values gets NULL.  ``keys`` may be
+    Nulls and NaN are ignored; a key without values gets NULL.  An entry may also
+    be a function that gives the zero-based place from the number of values, for
+    order statistics whose share differs by key.  ``keys`` may be
     empty for percentiles of the whole column.  ``alongside`` adds ordinary
     aggregates over ``value`` and the columns that it ``needs``.
     """
@@ -49,7 +54,7 @@ def exact_percentiles(
 
     totals = [F.min("_x").alias("_low"), F.max("_x").alias("_high"), *[c.alias(n) for n, c in alongside.items()]]
     every = table.groupBy(*groups).agg(*totals) if keys else table.agg(*totals).withColumn("_g0", F.lit(0))
-    searched = {name: p for name, p in named.items() if 0 < p < 1}
+    searched = {name: p for name, p in named.items() if callable(p) or 0 < p < 1}
     if searched:
         found = _searched(table.select(*groups, "_x", "_key").where("_key IS NOT NULL"), groups, searched)
         matched = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
@@ -59,7 +64,7 @@ def exact_percentiles(
     return every.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *shown)
 
 
-def _searched(values: DataFrame, groups: Sequence[str], named: Mapping[str, float]) -> DataFrame:
+def _searched(values: DataFrame, groups: Sequence[str], named: Mapping[str, Place]) -> DataFrame:
     """Percentiles strictly between 0 and 1 per group with values."""
     zero = F.lit(0).cast("long")
     inside = values.withColumns({"_slot": zero, "skipped": zero, "n": zero})
@@ -83,15 +88,19 @@ def _searched(values: DataFrame, groups: Sequence[str], named: Mapping[str, floa
     return steps.groupBy(*groups).agg(*[_interpolate(p).alias(name) for name, p in named.items()])
 
 
-def _ranks(named: Mapping[str, float]) -> Column:
-    """Zero-based ranks needed by the percentiles, for a key with ``n`` values."""
-    spots = [F.lit(p) * (F.col("n") - 1) for p in named.values()]
-    return F.array(*[edge(spot).cast("long") for spot in spots for edge in (F.floor, F.ceil)])
+def _spot(p: Place) -> Column:
+    """Zero-based place, not always whole, among the ``n`` values of a key."""
+    return (p(F.col("n")) if callable(p) else F.lit(p) * (F.col("n") - 1)).cast("double")
+
+
+def _ranks(named: Mapping[str, Place]) -> Column:
+    """Zero-based ranks on both sides of each place."""
+    return F.array(*[edge(_spot(p)).cast("long") for p in named.values() for edge in (F.floor, F.ceil)])
 
 
-def _interpolate(p: float) -> Column:
-    """Value at position p*(n-1) between the two neighbouring ranks."""
-    spot = F.lit(p) * (F.col("n") - 1)
+def _interpolate(p: Place) -> Column:
+    """Value at a place between its two neighbouring ranks."""
+    spot = _spot(p)
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("first") <= rank) & (rank < F.col("past")), F.col("x")))

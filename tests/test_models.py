@@ -221,3 +221,20 @@ def test_partitioned_panel_prunes(spark, tmp_path):
     back = tables.read_table(spark, str(tmp_path / "p")).where("month = 2")
     assert back.count() == 1
     assert "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().toString()
+
+
+def test_calibrated_intervals_cover_fresh_rows(spark):
+    rows = [(name, float(i), float(i) + ((i * 37) % 101 - 50) * scale) for name, scale in (("calm", 0.1), ("wild", 3.0)) for i in range(505)]
+    df = spark.createDataFrame(rows, "Name string, y double, predicted_price double")
+    few = spark.createDataFrame([("few", 1.0, 2.0)] * 5 + [("few", None, 2.0)], df.schema)
+    held, fresh = df.where("y % 2 = 0").unionByName(few), df.where("y % 2 = 1").unionByName(few)
+    widths = models.calibrated_half_widths(held, "y", "predicted_price", by="Name", confidence=0.9)
+    got = {r.Name: r.half_width for r in widths.collect()}
+    for name, scale in (("calm", 0.1), ("wild", 3.0)):
+        errors = sorted(abs((i * 37) % 101 - 50) * scale for i in range(0, 505, 2))
+        assert got[name] == pytest.approx(errors[-(-254 * 9 // 10) - 1])
+    assert got["few"] is None
+    out = models.with_calibrated_interval(fresh, widths, by="Name")
+    inside = F.col("y").between(F.col("price_lower"), F.col("price_upper"))
+    shares = {r.Name: r.s for r in out.where("y IS NOT NULL").groupBy("Name").agg(F.avg(inside.cast("int")).alias("s")).collect()}
+    assert shares["few"] == 1.0 and all(s >= 0.88 for s in shares.values())

@@ -97,3 +97,10 @@ def test_input_is_read_once(spark):
     out = exact_percentiles(df, ["k"], "v", NAMES, alongside={"rows": F.count(F.lit(1)), "mean": F.avg("v")})
     assert out.count() == 3 and out.first()["rows"] in (333, 334)
     assert read.value == 1000
+
+
+def test_places_by_function(spark):
+    rows = [("a", float(v)) for v in (5, 1, 4, 2, 3)] + [("b", 7.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = exact_percentiles(df, ["k"], "v", {"second": lambda n: F.least(F.lit(1), n - 1), "half": 0.5})
+    assert {r.k: (r.second, r.half) for r in got.collect()} == {"a": (2.0, 3.0), "b": (7.0, 7.0), "c": (None, None)}

@@ -426,6 +426,57 @@ def hour_reports(panel: str) -> str:
     return f"WITH {panel},\n{HOUR_MODELS},\n{marks},\n{area}\n" + "\nUNION ALL\n".join(rows)
 
 
+# The feature sets in full and in order, written out here apart from the library.
+CALENDAR_SET = "hour day_of_week day_of_month month is_weekend hour_sin hour_cos month_sin month_cos"
+MODULAR_SET = f"""{CALENDAR_SET}
+LBMP_avg_ma_24 LBMP_avg_std_24 LBMP_avg_min_24 LBMP_avg_max_24 LBMP_avg_ma_168 LBMP_avg_std_168
+Load_MW_ma_24 Load_MW_std_24 Load_MW_min_24 Load_MW_max_24 Load_MW_ma_168 Load_MW_std_168
+LBMP_avg_lag_1 LBMP_avg_lag_2 LBMP_avg_lag_3 LBMP_avg_lag_6 LBMP_avg_lag_12 LBMP_avg_lag_24
+Load_MW_lag_1 Load_MW_lag_2 Load_MW_lag_3 Load_MW_lag_6 Load_MW_lag_12 Load_MW_lag_24
+price_momentum_24h price_volatility_ratio congestion_impact price_deviation_24h
+load_change_1h load_ratio_24h is_peak_load Marginal_Cost_Losses_avg Marginal_Cost_Congestion_avg"""
+FLAT_START = "hour day_of_week month is_weekend is_peak_hour"
+FLAT_TURNS = f"{FLAT_START} hour_sin hour_cos month_sin month_cos"
+FEATURE_SETS = {
+    "price": ("feats", f"{MODULAR_SET} Load_MW"),
+    "demand": ("feats", f"{MODULAR_SET} LBMP_avg"),
+    "spike": ("feats", f"{MODULAR_SET} Load_MW"),
+    "other": ("feats", MODULAR_SET),
+    "flat_price": (
+        "flat",
+        f"{FLAT_TURNS} Load_MW load_ma_24h price_lag_1h price_lag_24h price_ma_24h "
+        "Marginal_Cost_Losses_avg Marginal_Cost_Congestion_avg",
+    ),
+    "flat_demand": (
+        "flat",
+        f"{FLAT_TURNS} LBMP_avg price_ma_24h load_lag_1h load_lag_24h load_ma_24h Marginal_Cost_Congestion_avg",
+    ),
+    "flat_spike": (
+        "flat",
+        f"{FLAT_START} Load_MW load_ma_24h load_ratio_24h price_lag_1h price_ma_24h price_volatility congestion_impact",
+    ),
+    "extended_price": (
+        "extended",
+        f"{FLAT_TURNS} Load_MW load_ma_24h load_std_24h load_ratio_24h price_lag_1h price_lag_24h price_ma_24h "
+        "price_std_24h Marginal_Cost_Losses_avg Marginal_Cost_Congestion_avg price_volatility congestion_impact",
+    ),
+}
+
+
+def feature_set_sql(wide: dict[str, str]) -> str:
+    """Means of all features; each panel is a subquery of its own, as their common table names clash."""
+    rows = []
+    for name, (source, features) in FEATURE_SETS.items():
+        for place, feature in enumerate(features.split()):
+            mean = r6(f'avg(CAST("{feature}" AS DOUBLE))', "mean", 4)
+            rows.append((source, f"SELECT '{name}' AS feature_set, {place} AS place, '{feature}' AS feature, {mean} FROM {source}"))
+    parts = []
+    for source, ctes in wide.items():
+        own = "\nUNION ALL\n".join(row for s, row in rows if s == source)
+        parts.append(f"SELECT * FROM (WITH {ctes}\n{own})")
+    return "\nUNION ALL\n".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     feeds = HOURLY_FEEDS
     cleaned = f"{HOURLY_FEEDS},{CLEANED}"
@@ -779,6 +830,23 @@ first_panel AS (SELECT hp.*, f."Load_MW", f.time_zone, {calendar('hp."timestamp"
                WHEN "Marginal_Cost_Losses" = 0.3 THEN 'LBMP' WHEN "timestamp" IS NULL THEN 'timestamp' ELSE 'none' END
            AS reason, count(*) AS lines FROM prices GROUP BY 1""",
     )
+    found["feature_sets"] = feature_set_sql({"feats": feats, "flat": flat, "extended": extended_ctes()})
+    first_feats = feats.replace("win AS (SELECT *, ", f"{first_panel},\nwin AS (SELECT *, ", 1)
+    found["featured_panel_first_load"] = settled(
+        first_feats.replace("FROM panel WINDOW w", "FROM first_panel WINDOW w"),
+        "feats",
+        [*MODULAR_KEEP, "time_zone"],
+        MODULAR_DOUBLES,
+    )
+    found["predict_intervals_calibrated"] = f"""WITH {feats},
+errors AS (SELECT "Name", abs("LBMP_avg" - predicted_price) AS e, row_number() OVER (PARTITION BY "Name"
+           ORDER BY abs("LBMP_avg" - predicted_price)) AS rk, count(*) OVER (PARTITION BY "Name") AS n
+           FROM naive WHERE {share()} < 80),
+widths AS (SELECT "Name", max(e) FILTER (WHERE rk = ((n + 1) * 9 + 9) // 10) AS half_width FROM errors GROUP BY "Name")
+SELECT t."Name", {r6("half_width", "half_width")}, count(*) AS rows,
+       {r6("avg(CASE WHEN abs(\"LBMP_avg\" - predicted_price) <= half_width THEN 1.0 ELSE 0.0 END)", "coverage")}
+FROM naive t JOIN widths w ON t."Name" = w."Name" WHERE {share().replace('"timestamp"', 't."timestamp"').replace('"Name"', 't."Name"')} >= 80
+GROUP BY t."Name", half_width"""
     # Increments give what one run over all files gives.
     found["rollup_price_incremental"] = found["rollup_price_hourly_full"]
     found["rollup_load_incremental"] = found["rollup_load_hourly_tz"]

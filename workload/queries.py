@@ -344,6 +344,36 @@ def feature_projection(spark, sf_dir):
     return settled(feat.project_features(hourly_features(spark, sf_dir), names, *KEYS, "LBMP_avg"))
 
 
+@query
+def feature_sets(spark, sf_dir):
+    """Every named feature set: its features in order, and the mean of each over the panel that it is taken from."""
+    modular = {t: feat.feature_columns(t) for t in ("price", "demand", "spike", "other")}
+    flat = {f"flat_{t}": names for t, names in feat.FLAT_FEATURES.items()}
+    sources = [
+        (hourly_features(spark, sf_dir), modular),
+        (flat_features(spark, sf_dir), flat),
+        (extended_panel(feeds.hourly_price(spark, sf_dir), feeds.hourly_load(spark, sf_dir)), {"extended_price": feat.EXTENDED_PRICE_FEATURES}),
+    ]
+    parts = []
+    for panel, sets in sources:
+        used = list(dict.fromkeys(n for names in sets.values() for n in names))
+        means = feat.project_features(panel, used).agg(*[F.avg(n).alias(n) for n in used])
+        rows = [
+            F.struct(F.lit(name).alias("feature_set"), F.lit(i).alias("place"), F.lit(n).alias("feature"), F.col(n).alias("mean"))
+            for name, names in sets.items()
+            for i, n in enumerate(names)
+        ]
+        parts.append(means.select(F.inline(F.array(*rows))))
+    return settled(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4)
+
+
+@query
+def featured_panel_first_load(spark, sf_dir):
+    """The modular chain on the earliest load row of each hour instead of the hour's average."""
+    panel = processed_panel(feeds.hourly_price(spark, sf_dir), feeds.hourly_load(spark, sf_dir), load_rollup="first")
+    return settled(featured_panel(panel)).withColumnRenamed("Time Zone", "time_zone")
+
+
 @query
 def calendar_features(spark, sf_dir):
     panel = hourly_panel(spark, sf_dir).select(*KEYS)
@@ -798,6 +828,22 @@ def predict_intervals(spark, sf_dir):
     return settled(models.with_interval(df))
 
 
+@query
+def predict_intervals_calibrated(spark, sf_dir):
+    """Half-widths from the errors of four fifths of the rows, per zone, and how much of the rest they cover."""
+    columns = [*KEYS, "LBMP_avg", "predicted_price"]
+    df = materialize(naive_predictions(spark, sf_dir).select(*columns), "predictions")
+    known, fresh = sampling.split_by_hash(df, keys=KEYS)
+    bounded = models.with_calibrated_interval(
+        fresh, models.calibrated_half_widths(known, "LBMP_avg", "predicted_price", by="Name", confidence=0.9), by="Name"
+    )
+    inside = F.col("LBMP_avg").between(F.col("price_lower"), F.col("price_upper"))
+    covered = bounded.groupBy("Name", "half_width").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(inside.cast("double")).alias("coverage")
+    )
+    return settled(covered)
+
+
 @query
 def forecast_horizon(spark, sf_dir):
     """Each of the 24 hours behind every test row by one full ensemble that is fed its own predictions."""
