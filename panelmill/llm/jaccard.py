@@ -333,8 +333,10 @@ def jaccard_components(
     posted = posted.select(F.col("p.buckets").alias("bucket"), "set_id", "n", F.col("p.reach").alias("reach"))
     # Most buckets hold one set; the rest is small.  Copies meet before the shuffle.
     shared = posted.groupBy("bucket").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
-    shared = stored(shared.where("low < high").select("bucket"), "shared-buckets")
-    members = stored(posted.join(shared, "bucket", "left_semi").distinct(), "bucket-members")
+    shared = stored(shared.where("low < high").select("bucket", F.lit(1).alias("kind")), "shared-buckets")
+    # The filter keeps most rows of buckets with one set out of the shuffle.
+    with filtered_joins(docs.sparkSession):
+        members = stored(posted.join(shared.where("kind = 1").select("bucket"), "bucket", "left_semi").distinct(), "bucket-members")
 
     def fits(a: str, b: str) -> Column:
         need = least_shared(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
