@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from contextvars import copy_context
 from functools import partial
 from multiprocessing.pool import ThreadPool
 from typing import TypeVar
@@ -119,8 +120,8 @@ def run_together(
 
     if not work:
         return {}
-    # Each piece gets a copy of the local properties of its own.
-    pieces = [inheritable_thread_target(spark)(partial(pooled, name)) for name in work]
+    # Each piece gets a copy of the local properties and of the scope of its own.
+    pieces = [partial(copy_context().run, inheritable_thread_target(spark)(partial(pooled, name))) for name in work]
     with ThreadPool(min(at_once, len(pieces))) as threads:
         return dict(zip(work, threads.map(lambda piece: piece(), pieces, chunksize=1), strict=True))
 

@@ -236,38 +236,20 @@ def corr_by(df: DataFrame, key: str, x: str = LOAD, y: str = PRICE) -> DataFrame
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All pairwise correlations over complete pairs, as rows (x, y, r); NULL for constant columns.
 
-    One pass takes means, extremes and null counts (a single row), a second sums
-    the products of the centred columns.  Only where a column has nulls does
-    every pair need aggregates of its own.
+    One aggregate of mergeable co-moments (counts, means and centred products),
+    grouped by pair and stable whatever the distance of the values from 0.  Null
+    and NaN are missing; a pair leaves out only the rows in which one of its own
+    two is.
     """
-    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    facts = doubles.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[
-            F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), (F.min(c) < F.max(c)).alias("varies")).alias(c)
-            for c in columns
-        ],
-    ).first()
-    upper = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    if all(facts[c]["n"] == facts["rows"] for c in columns):
-        varying = {c: F.col(c) - F.lit(facts[c]["mean"]) for c in columns if facts[c]["varies"]}
-        used = [(a, b) for a, b in upper if a in varying and b in varying]
-        row = doubles.agg(*[F.sum(varying[a] * varying[b]).alias(f"{a}~{b}") for a, b in used], F.lit(1))
-
-        def correlation(a: str, b: str) -> Column:
-            if (a, b) not in used:
-                return F.lit(None).cast("double")
-            own_a, own_b = F.col(f"`{a}~{a}`"), F.col(f"`{b}~{b}`")
-            return F.col(f"`{a}~{b}`") / F.sqrt(own_a * own_b)
-
-    else:
-        row = doubles.agg(*[pearson(a, b).alias(f"{a}~{b}") for a, b in upper])
-
-        def correlation(a: str, b: str) -> Column:
-            return F.col(f"`{a}~{b}`")
-
-    def cell(a: str, b: str) -> Column:
-        ordered = (a, b) if (a, b) in upper else (b, a)
-        return F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), correlation(*ordered).alias("r"))
-
-    return row.select(F.inline(F.array(*[cell(a, b) for a, b in product(columns, repeat=2)])))
+    upper = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    usable = df.select(*[F.nullif(F.col(f"`{c}`").cast("double"), F.lit(float("nan"))).alias(f"_{i}") for i, c in enumerate(columns)])
+    pairs = [F.struct(F.lit(i * len(columns) + j).alias("pair"), F.col(f"_{i}").alias("a"), F.col(f"_{j}").alias("b")) for i, j in upper]
+    found = usable.select(F.inline(F.array(*pairs))).where("a IS NOT NULL AND b IS NOT NULL").groupBy("pair").agg(pearson("a", "b").alias("r"))
+    # One entry per pair.
+    row = found.agg(F.map_from_entries(F.collect_list(F.struct("pair", "r"))).alias("r"))
+
+    def cell(i: int, j: int) -> Column:
+        value = F.try_element_at("r", F.lit(min(i, j) * len(columns) + max(i, j)))
+        return F.struct(F.lit(columns[i]).alias("x"), F.lit(columns[j]).alias("y"), value.alias("r"))
+
+    return row.select(F.inline(F.array(*[cell(i, j) for i, j in product(range(len(columns)), repeat=2)])))

@@ -58,12 +58,26 @@ def rollup_load(
     load: str = "Load",
     zone_label: str | None = None,
 ) -> DataFrame:
-    """Average load per bucket and key, optionally with the earliest time-zone label."""
-    measures = [F.avg(load).alias("Load_MW")]
-    if zone_label:
-        earliest = F.min(F.struct(F.col(ts), F.col(f"`{zone_label}`").alias("label")))
-        measures.append(earliest.getField("label").alias("Time_Zone"))
-    return df.groupBy(bucket(F.col(ts), grain).alias(out or ts), *keys).agg(*measures)
+    """Average load per bucket and key, optionally with the earliest time-zone label.
+
+    With a label, raw rows are first grouped by it as well, with fixed-width
+    measures only, so they are hashed and not sorted; what is compared as
+    (timestamp, label) is one row per label of a bucket.  Of labels at the same
+    earliest timestamp a null is first, then the smallest.
+    """
+    slot = bucket(F.col(ts), grain).alias(out or ts)
+    if not zone_label:
+        return df.groupBy(slot, *keys).agg(F.avg(load).alias("Load_MW"))
+    by_label = df.groupBy(slot, *keys, F.col(_quoted(zone_label)).alias("_label")).agg(
+        F.min(ts).alias("_first"), F.sum(F.col(load).cast("double")).alias("_sum"), F.count(load).alias("_count")
+    )
+    earliest = F.min(F.struct("_first", "_label")).getField("_label")
+    mean = F.try_divide(F.sum("_sum"), F.sum("_count"))
+    return by_label.groupBy(out or ts, *keys).agg(mean.alias("Load_MW"), earliest.alias("Time_Zone"))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def join_feeds(

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,19 @@ def test_sql_reports_see_registered_feeds(spark):
     assert [(r.Zone, r.Records, r.Avg_Price, r.Median_Price) for r in stats] == [("B", 1, 9.0, 9.0), ("A", 2, 1.5, 1.5)]
     assert [r.Days_Covered for r in reports.time_range(spark).collect()] == [2, 2]
     assert [r.Zone for r in reports.load_stats(spark).collect()] == ["B", "A"]
+
+
+def test_correlations_by_pair_without_nulls_and_far_from_zero(spark):
+    nan, far = float("nan"), 1e9
+    rows = [(1.0, 2.0, far + 1, 5.0, None), (2.0, None, far + 2, 5.0, None), (3.0, 7.0, far + 4, 5.0, None), (4.0, nan, far + 3, 5.0, None), (5.0, 6.0, far + 9, 5.0, None)]
+    df = spark.createDataFrame(rows, "`a.b` double, b double, c double, d double, e double").repartition(3)
+    got = {(r.x, r.y): r.r for r in reports.corr_matrix(df, ["a.b", "b", "c", "d", "e"]).collect()}
+    assert len(got) == 25
+    for x, y, left, right in [
+        ("a.b", "b", [1, 3, 5], [2, 7, 6]), ("a.b", "c", [1, 2, 3, 4, 5], [1, 2, 4, 3, 9]), ("c", "b", [1, 4, 9], [2, 7, 6])
+    ]:
+        assert got[x, y] == got[y, x] == pytest.approx(np.corrcoef(left, right)[0, 1], abs=1e-9)
+    assert got["b", "b"] == pytest.approx(1) and got["c", "c"] == pytest.approx(1)
+    assert all(r is None for (x, y), r in got.items() if {x, y} & {"d", "e"})
+    empty = reports.corr_matrix(df.limit(0), ["b", "c"]).collect()
+    assert len(empty) == 4 and all(r.r is None for r in empty)
