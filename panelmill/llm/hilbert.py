@@ -9,19 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.llm.common import stored
+from panelmill.runtime import release
 
 BITS = 5
 
 
-def text_position(column: str) -> Column:
-    """A number that orders strings by their first six bytes, so that quantiles apply to them."""
-    head = F.rpad(F.substring(F.hex(F.encode(column, "utf-8")), 1, 12), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
-
-
-def cell(position: Column, cuts: Sequence[float]) -> Column:
+def cell(position: Column, cuts: Sequence[float] | Sequence[str], kind: str = "double") -> Column:
     """How many of the ascending ``cuts`` lie at or below ``position``; a missing position is in cell 0."""
-    at_or_below = F.filter(F.lit(list(cuts)).cast("array<double>"), lambda c: c <= position)
+    if not cuts:
+        return F.lit(0).cast("long")
+    at_or_below = F.filter(F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>"), lambda c: c <= position)
     return F.coalesce(F.size(at_or_below), F.lit(0)).cast("long")
 
 
@@ -97,15 +94,47 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def quantise(df: DataFrame, positions: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
-    """Cells of each dimension by approximate quantiles over all rows, so that cells hold about equal counts.
+    """Cells of each dimension by quantiles over all rows, so that cells hold about equal counts.
 
-    At most ``2 ** bits - 1`` cut points per dimension reach the driver.
+    Numbers are cut by approximate quantiles, strings by exact ones of whole
+    strings.  At most ``2 ** bits - 1`` cut points per dimension reach the driver.
     """
     points = [i / 2**bits for i in range(1, 2**bits)]
-    found = df.select(*[p.alias(n) for n, p in positions.items()]).agg(
-        *[F.percentile_approx(n, points, 10_000).alias(n) for n in positions]
-    ).first()
-    return {n: cell(p, sorted(set(found[n] or []))) for n, p in positions.items()}
+    values = df.select(*[p.alias(n) for n, p in positions.items()])
+    texts = [n for n, kind in values.dtypes if kind == "string"]
+    numbers = [n for n in values.columns if n not in texts]
+    cells = {n: cell(positions[n], text_cuts(values.select(F.col(n).alias("value")), 2**bits), "string") for n in texts}
+    if numbers:
+        found = values.agg(*[F.percentile_approx(n, points, 10_000).alias(n) for n in numbers]).first()
+        cells |= {n: cell(positions[n], sorted(set(found[n] or []))) for n in numbers}
+    return {n: cells[n] for n in positions}
+
+
+def text_cuts(values: DataFrame, parts: int) -> list[str]:
+    """The first strings whose last row lies in each of ``parts`` parts of about equal counts but the lowest.
+
+    Distinct strings with their counts are range sorted as one stored table;
+    running counts are taken inside each range and moved on by the ranges before
+    it.  A string with more rows than a part is a cut at most once.
+    """
+    counted = values.where("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counted.repartitionByRange("value").withColumn("range", F.spark_partition_id())
+    ranged = stored(ranged, "text-counts")
+    # One row per range.
+    sizes = ranged.groupBy("range").agg(F.sum("n").alias("rows"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = sizes.select(
+        F.col("range"),
+        F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("earlier"),
+        F.sum("rows").over(Window.partitionBy()).alias("total"),
+    )
+    inside = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(moved), "range")
+    last = F.col("before") + F.col("earlier") + F.col("n") - 1
+    ends = placed.select("value", F.floor(last * parts / F.col("total")).alias("part")).where("part > 0")
+    cuts = ends.groupBy("part").agg(F.min("value").alias("value")).select("value").collect()
+    release(ranged)
+    return [r["value"] for r in cuts]
 
 
 def hilbert_shards(
@@ -113,21 +142,24 @@ def hilbert_shards(
 ) -> DataFrame:
     """All rows and columns in Hilbert order, with ``hilbert``, ``shard`` and ``slot``.
 
-    ``positions`` are the dimensions (numbers per row); rows are sorted by the
+    ``positions`` are the dimensions (numbers or strings per row); rows are sorted by the
     curve's index, then by ``key``, and cut into ``shards`` runs whose counts
     differ by at most one.  ``slot`` counts from 0 in each shard.  Rows that
     share a cell are one run of the sort by ``key``, so a crowded cell is split
     like any other; fully equal rows are in any order.  Nulls sort first; an
     empty table gives no rows.  Columns that are called like the added ones are
-    replaced.
+    replaced; all others are kept, whatever their names.
 
     The sorted table is stored once: a row's place is its number in its part
     plus the rows of the parts before it.
     """
-    docs = docs.drop("hilbert", "shard", "slot", "hilbert_place")
+    docs = docs.drop("hilbert", "shard", "slot")
     cells = quantise(docs, positions, bits)
-    df = docs.withColumn("hilbert", hilbert_index(list(cells.values()), bits))
-    df = df.repartitionByRange("hilbert", *key).sortWithinPartitions("hilbert", *key)
+    # The rows' own columns travel as one, so that none can clash.
+    own = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+    df = docs.select(own, hilbert_index(list(cells.values()), bits).alias("hilbert"))
+    order = ["hilbert", *[F.col("row").getField(k) for k in key]]
+    df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df = stored(df.withColumn("hilbert_place", F.monotonically_increasing_id()), "hilbert")
     part = F.shiftright("hilbert_place", 33)
     # One row per part of the sort.
@@ -145,9 +177,7 @@ def hilbert_shards(
     shard = F.when(at < edge, F.floor(at / (each + 1))).otherwise(long + F.floor((at - edge) / F.greatest(each, F.lit(1))))
     placed = df.withColumn("hilbert_part", part).join(F.broadcast(bases), F.col("hilbert_part") == F.col("part"))
     start = shard * each + F.least(shard, long)
-    return placed.withColumn("slot", (at - start).cast("long")).withColumn("shard", shard.cast("int")).drop(
-        "hilbert_place", "hilbert_part", "part", "base", "total"
-    )
+    return placed.select("row.*", "hilbert", shard.cast("int").alias("shard"), (at - start).cast("long").alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

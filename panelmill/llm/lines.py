@@ -159,12 +159,12 @@ def dedup_lines(
     # execution splits its partition, since the other side has one row for it.
     dropped = hashes.join(common, "key").where("doc_id < top")
     drops = dropped.groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("gone"))
-    named = docs.withColumns(
-        {"line_doc": F.col("doc_id"), "line_text": F.xxhash64(F.coalesce("text", F.lit("")))}
-    )
+    # The document's own columns travel as one, so that none can clash.
+    rows = docs.select(F.col("doc_id").alias("line_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("line_text"), _whole(docs))
     drops = drops.select(F.col("doc_id").alias("line_doc"), F.col("text_hash").alias("line_text"), "gone")
-    joined = named.join(drops, ["line_doc", "line_text"], "left")
-    lines = split_lines(F.col("text"))
+    joined = rows.join(drops, ["line_doc", "line_text"], "left")
+    text = F.col("row").getField("text")
+    lines = split_lines(text)
     none = F.array().cast("array<int>")
     # Bound to a variable, so that the lines are split once and not for every kept one.
     bound = F.struct(
@@ -172,11 +172,15 @@ def dedup_lines(
         F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.coalesce("gone", none)).alias("at"),
     )
     rest = F.transform(F.array(bound), lambda b: F.array_join(F.transform(b["at"], lambda i: F.get(b["lines"], i)), "\n"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(rest[0])
-    return joined.withColumns(
-        {
-            "kept": kept,
-            "n_lines": F.size(lines).cast("long"),
-            "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
-        }
-    ).drop("line_doc", "line_text", "gone")
+    kept = F.when(F.col("gone").isNull(), F.coalesce(text, F.lit(""))).otherwise(rest[0])
+    return joined.select(
+        "row.*",
+        kept.alias("kept"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+    )
+
+
+def _whole(df: DataFrame) -> Column:
+    """All columns of a row as one struct, ``row``."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row")

@@ -176,8 +176,8 @@ def op9_hilbert_shards(spark, sf_dir):
         "size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
     )
     positions = {
-        "lang": hilbert.text_position("lang"),
-        "source": hilbert.text_position("source"),
+        "lang": F.col("lang"),
+        "source": F.col("source"),
         "size": F.col("size").cast("double"),
     }
     sharded = hilbert.hilbert_shards(docs, positions, 24, key=["doc_id", "size"])

@@ -197,7 +197,7 @@ def test_hilbert_curve_moves_one_cell_at_a_time(spark):
 
 
 def test_shards(docs, rows):
-    positions = {"lang": hilbert.text_position("lang"), "n": F.col("n_chars").cast("double")}
+    positions = {"lang": F.col("lang"), "n": F.col("n_chars").cast("double")}
     got = hilbert.hilbert_shards(docs.withColumn("slot", F.lit(5)), positions, 4, ["doc_id", "text"]).collect()
     assert len(got) == rows
     assert len({(r.shard, r.slot) for r in got}) == rows
@@ -309,3 +309,70 @@ def test_jaccard_bridge_without_an_id(make):
     rows = [(1, ends[0]), (None, ends[1]), (None, ends[1]), (2, ends[2])]
     got = jaccard.jaccard_components(make(rows)).collect()
     assert sorted((r.doc_id or 0, r.component_id, r.n_links) for r in got) == [(0, 1, 2), (0, 1, 2), (1, 1, 1), (2, 1, 1)]
+
+
+def test_columns_of_any_name_stay(spark, make):
+    extra = ["gone", "at", "lines", "line_doc", "line_text", "row", "total", "base", "part", "hilbert_part", "hilbert_place", "a.b"]
+    docs = make([(i, f"{LINE}\nown {i}") for i in range(6)])
+    docs = docs.select("*", *[F.col("doc_id").alias(name) for name in extra])
+    cut = lines.dedup_lines(docs)
+    assert cut.columns == [*docs.columns, "kept", "n_lines", "n_dropped"]
+    for r in cut.collect():
+        assert all(r[name] == r.doc_id for name in extra) and r.kept.count(LINE) == (r.doc_id == 5)
+    sharded = hilbert.hilbert_shards(docs, {"lang": F.col("lang"), "n": F.col("total")}, 4, ["doc_id", "a.b"])
+    assert sharded.columns == [*docs.columns, "hilbert", "shard", "slot"]
+    assert all(r[name] == r.doc_id for r in sharded.collect() for name in extra)
+
+
+def test_text_cuts_are_quantiles_of_whole_strings(spark):
+    values = [f"https://example.org/{i:03d}" for i in range(100)] + ["https://example.org/050x"] * 60 + [None] * 9
+    df = spark.createDataFrame([(v,) for v in values], "value string").repartition(5)
+    got = sorted(hilbert.text_cuts(df, 8))
+    held = sorted(v for v in values if v)
+    last = {v: (i * 8) // len(held) for i, v in enumerate(held)}
+    assert got == sorted({min(v for v in last if last[v] == p) for p in set(last.values()) if p})
+    cells = df.select("value", hilbert.cell(F.col("value"), got, "string").alias("c")).collect()
+    assert all(r.c == sum(g <= r.value for g in got) if r.value else r.c == 0 for r in cells)
+    assert hilbert.text_cuts(df.where("value IS NULL"), 8) == []
+
+
+def test_written_shards_prune_by_every_dimension(spark, tmp_path):
+    docs = spark.range(4096).select(
+        F.col("id").alias("doc_id"),
+        F.format_string("common_crawl_%02d", F.col("id") % 8).alias("source"),
+        F.floor(F.col("id") / 8).alias("size"),
+    )
+    positions = {"source": F.col("source"), "size": F.col("size").cast("double")}
+    hilbert.write_shards(hilbert.hilbert_shards(docs, positions, 16, ["doc_id"], bits=3), str(tmp_path / "shards"))
+    shards = spark.read.parquet(str(tmp_path / "shards"))
+    ends = shards.groupBy("shard").agg(*[f(c).alias(f"{n}_{c}") for c in ("source", "size") for n, f in (("lo", F.min), ("hi", F.max))])
+    ends = ends.collect()
+    assert len(ends) == 16 and shards.count() == 4096
+    # What a filter on one value of either dimension alone must open.
+    assert max(sum(r.lo_source <= f"common_crawl_{k:02d}" <= r.hi_source for r in ends) for k in range(8)) <= 8
+    assert max(sum(r.lo_size <= k <= r.hi_size for r in ends) for k in range(512)) <= 8
+
+
+def test_every_literal_item_is_found_beyond_the_feature_bound(spark, make, monkeypatch):
+    monkeypatch.setattr(decontaminate, "FEATURES", 256)
+    monkeypatch.setattr(decontaminate, "ITEM_BLOCK", 64)
+    items = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60)] + ["of the and", "the of the and of the the"]
+    docs = [(i, f"of the {text} and the of {'padding words here ' * (i % 40)}") for i, text in enumerate(items)]
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(make(docs), table, min_cosine=2.0).collect()}
+    want = {(d, i) for d, text in docs for i, item in enumerate(items) if f" {item} " in f" {text} "}
+    assert got == want and len(want) >= 62
+
+
+def test_common_subsequence_is_that_of_the_table():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = ([bytes([c]) for c in draw.integers(97, 101, draw.integers(0, 20))] for _ in "ab")
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1, j + 1] = best[i, j] + 1 if x == y else max(best[i, j + 1], best[i + 1, j])
+        masks = {}
+        for i, x in enumerate(a):
+            masks[x] = masks.get(x, 0) | 1 << i
+        assert decontaminate.common_subsequence(masks, len(a), b) == best[-1, -1]
