@@ -8,7 +8,7 @@ from contextlib import contextmanager
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from panelmill.runtime import scratch_path
+from panelmill.runtime import materialize
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize(df, label, compression="zstd")
 
 
 # Spark's own filter of join keys: at most 8 MB, whatever the number of keys; asked of any size of table.

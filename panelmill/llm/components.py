@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.llm.common import stored
+from panelmill.runtime import release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,8 +14,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours, then
     the label of that label, so the distance a label travels doubles.  Labels
-    are stored after each round; the loop ends with the first round that changes
-    none.
+    are stored after each round, and those of the round before are removed; the
+    loop ends with the first round that changes none.
     """
     ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"))
     both = stored(ends.union(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "links")
@@ -27,6 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         )
         far = labels.select(F.col("node").alias("near"), F.col("component").alias("far"))
         moved = stored(near.join(far, "near").select("node", "old", F.least("near", "far").alias("component")), "labels")
+        release(labels)
         labels = moved.select("node", "component")
         if not moved.where("old <> component").take(1):
+            release(both)
             return labels

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from panelmill.llm.common import WordHashes, filtered_joins, stored, words
 from panelmill.llm.components import components
+from panelmill.runtime import release
 
 WIDTH = 4
 PERCENT = 85
@@ -130,6 +131,7 @@ def _sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
     rows = sorted(parts.applyInPandas(add, "chunk int, levels binary").collect())
     levels = np.frombuffer(b"".join(r["levels"] for r in rows), np.uint8)
     sizes = found.where("chunk < 0").groupBy("size").agg(F.sum("texts").alias("texts")).collect()
+    release(found)
     return levels if len(levels) else np.zeros(1 << SKETCH_BITS, np.uint8), {r["size"]: r["texts"] for r in sizes}
 
 
@@ -219,7 +221,9 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     nameless = nameless.join(wanted.where("doc_id IS NULL").select("set_id"), "set_id", "left_semi")
     nameless = nameless.groupBy("set_id").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
     with filtered_joins(docs.sparkSession):
-        return stored(named.union(nameless), "set-elements")
+        found = stored(named.union(nameless), "set-elements")
+    release(ids)
+    return found
 
 
 def _verified(
@@ -233,6 +237,7 @@ def _verified(
     wanted = signed.select("set_id", "check", "doc_id").join(ends, "set_id", "left_semi").groupBy("set_id", "check")
     wanted = stored(wanted.agg(F.min("doc_id").alias("doc_id")).select("set_id", "doc_id"), "wanted-sets")
     elements = _elements(docs, wanted, width)
+    release(wanted)
 
     @F.pandas_udf("boolean")
     def linked(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -247,7 +252,9 @@ def _verified(
     left = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("left"))
     right = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("right"))
     met = pairs.join(left, "a").join(right, "b")
-    return stored(met.where(linked("left", "right")).select("a", "b").distinct(), "set-links"), elements
+    links = stored(met.where(linked("left", "right")).select("a", "b").distinct(), "set-links")
+    release(pairs)
+    return links, elements
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -335,6 +342,10 @@ def jaccard_components(
     shared = posted.groupBy("bucket").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high"))
     shared = stored(shared.where("low < high").select("bucket"), "shared-buckets")
     members = stored(posted.join(shared, "bucket", "left_semi").distinct(), "bucket-members")
+    release(shared)
+    # The buckets are most of the stored sets and not needed again.
+    with_buckets, signed = signed, stored(signed.select("doc_id", "n", "set_id", "check"), "set-names")
+    release(with_buckets)
 
     def fits(a: str, b: str) -> Column:
         need = least_shared(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
@@ -366,7 +377,9 @@ def jaccard_components(
     pairs = rest.where(fits("m", "o")).select(
         F.least("m.set_id", "o.set_id").alias("a"), F.greatest("m.set_id", "o.set_id").alias("b")
     )
+    release(members)
     far, more = _verified(docs, signed, pairs, width, percent)
+    release(open_rows, first)
     links = near.union(far)
     linked = components(links).withColumnsRenamed({"node": "set_id", "component": "group"})
     held = [x for x in (elements, more) if x is not None]
@@ -378,6 +391,7 @@ def jaccard_components(
     alone = F.col("group").isNull()
     key = [F.coalesce("group", "set_id").alias("group"), F.when(alone, F.col("check")).otherwise(F.lit(0)).alias("part")]
     classes = stored(classes.select("set_id", "check", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), *key), "set-classes")
+    release(near, far, linked, ends, *held)
     lowest = classes.groupBy("group", "part").agg(F.min("class_id").alias("component_id"))
     classes = classes.join(lowest, ["group", "part"]).drop("group", "part")
     # Copies are many rows of one key; adaptive execution splits them.
