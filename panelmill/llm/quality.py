@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors over n-grams of word shapes."""
+"""Quality classifier: naive Bayes support vectors over n-grams of words and of word shapes."""
 
 from __future__ import annotations
 
@@ -12,10 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import stored
+from panelmill.llm.common import WordHashes, filtered_joins, stored, words
 
-BUCKETS = 1 << 18
+# One bucket in ``1 << BUCKET_BITS`` for each shape feature; as many again for each word feature.
+BUCKET_BITS = 18
+BUCKETS = 2 << BUCKET_BITS
 SAMPLE_ROWS = 12_000
+SAMPLE_BYTES = 32 << 20
 # An n-gram is indicated once for each share of the text's n-grams that it reaches.
 SHARES = (0.0, 0.02, 0.1, 0.3)
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -44,6 +47,10 @@ class ShapeHashes(dict):
         return value
 
 
+def buckets(grams: np.ndarray, kind: int) -> np.ndarray:
+    """Bucket of each n-gram hash among its ``kind`` (below 16)."""
+    return (((grams * np.uint64(16) + np.uint64(kind)) * _MULTIPLY) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
 
 def shape_features(text: str | None, known: ShapeHashes | None = None) -> np.ndarray:
     """Distinct feature buckets of a text: shape n-grams of one to three words at each share that they reach.
@@ -51,12 +58,12 @@ def shape_features(text: str | None, known: ShapeHashes | None = None) -> np.nda
     A word that repeats the one before it has a shape of its own.  Bucket 0 is
     set for every text.
     """
-    words = (text or "").split()
-    if not words:
+    split = (text or "").split()
+    if not split:
         return np.zeros(1, np.int32)
     known = ShapeHashes() if known is None else known
-    shapes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    same = np.fromiter((a == b for a, b in zip(words, words[1:])), bool, len(words) - 1)
+    shapes = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+    same = np.fromiter((a == b for a, b in zip(split, split[1:])), bool, len(split) - 1)
     shapes[1:][same] = np.uint64(1)
     grams, found = shapes, []
     for n in range(1, 4):
@@ -66,24 +73,40 @@ def shape_features(text: str | None, known: ShapeHashes | None = None) -> np.nda
             grams = (grams[:-1] * _MULTIPLY) ^ shapes[n - 1 :]
         distinct, counts = np.unique(grams, return_counts=True)
         for level, share in enumerate(SHARES):
-            reached = distinct[counts >= share * len(grams)]
-            mixed = (reached * np.uint64(4 * len(SHARES)) + np.uint64(4 * level + n)) * _MULTIPLY
-            found.append(mixed >> np.uint64(64 - 18))
-    return np.unique(np.concatenate([[0], *found]).astype(np.int64)).astype(np.int32)
+            found.append(buckets(distinct[counts >= share * len(grams)], 4 * level + n))
+    return np.unique(np.concatenate([[0], *found])).astype(np.int32)
+
+
+def word_features(text: str | None, known: WordHashes | None = None) -> np.ndarray:
+    """Distinct feature buckets of a text: its words and pairs of neighbouring words, A-Z lower-cased."""
+    split = words(text)
+    known = WordHashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+    pairs = (hashes[:-1] * _MULTIPLY) ^ hashes[1:]
+    return np.unique(np.concatenate([buckets(hashes, 1), buckets(pairs, 2)])).astype(np.int32)
+
+
+class Features:
+    """Feature buckets of texts: those of shapes first, then those of words."""
+
+    def __init__(self) -> None:
+        self.shapes, self.words = ShapeHashes(), WordHashes()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.concatenate([shape_features(text, self.shapes), word_features(text, self.words) + (1 << BUCKET_BITS)])
 
 
 def featurise(docs: DataFrame) -> DataFrame:
-    """``doc_id, features``: buckets as little-endian 32-bit bytes, one row per row of ``docs``."""
+    """``doc_id, label, features`` of ``doc_id, label, text``: buckets as little-endian 32-bit bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ShapeHashes()
+        features = Features()
         for batch in batches:
-            found = [shape_features(t, known).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "features"]
-            )
+            found = [features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
+            columns = [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, features binary")
+    return docs.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features binary")
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:
@@ -162,25 +185,35 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.weights[features].sum() + self.offset, -40, 40))))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
+def bounded_sample(labelled: DataFrame, sample_rows: int, sample_bytes: int) -> pd.DataFrame:
+    """The rows with the smallest hashed ids, as many as the bounds on rows and on bytes of features allow."""
+    order = [F.xxhash64("doc_id"), "doc_id", "features"]
+    # Lengths alone tell how many rows fit.
+    sized = labelled.orderBy(*order).limit(sample_rows).select(F.octet_length("features").alias("n")).toPandas()
+    fitting = int((sized["n"].cumsum() <= sample_bytes).sum())
+    return labelled.orderBy(*order).limit(fitting).select("features", "label").toPandas()
+
+
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
     """Fit on ``doc_id, features, label``.
 
     Class log-count ratios are counted over all labelled rows.  The hinge-loss
-    model is fitted on a sample of at most ``sample_rows`` rows, those whose
-    hashed id is smallest; every fifth of them is left to the logistic curve.
-    With fewer than two classes the score is the share of label 1, or one half.
+    model is fitted on a sample of at most ``sample_rows`` rows and
+    ``sample_bytes`` bytes of features, those whose hashed id is smallest; every
+    fifth of them is left to the logistic curve.  With fewer than two classes
+    (or a sample of one class) the score is the share of label 1, or one half.
     """
     counts = class_counts(labelled).toPandas()
     total = labelled.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     positive, negative = int(total[0]), int(total[1])
-    if not positive or not negative:
+    sample = bounded_sample(labelled, sample_rows, sample_bytes) if positive and negative else None
+    if sample is None or sample["label"].nunique() < 2:
         share = (positive + 1e-6) / (positive + negative + 2e-6)
         return QualityModel(np.zeros(BUCKETS), 1.0, float(np.log(share / (1 - share))))
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
     p[counts["bucket"]], q[counts["bucket"]] = counts["positive"], counts["negative"]
     ratio = np.log((p + 1) / (positive + 2)) - np.log((q + 1) / (negative + 2))
     ratio[0] = 1.0  # the offset
-    sample = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample_rows).toPandas()
     rows = [np.frombuffer(f, np.int32) for f in sample["features"]]
     labels = np.where(sample["label"] == 1, 1.0, -1.0)
     curve = np.arange(len(rows)) % 5 == 4
@@ -192,7 +225,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> QualityModel:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS
+    docs: DataFrame,
+    labels: DataFrame,
+    usable: Column,
+    sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
 ) -> DataFrame:
     """``doc_id, score``: the chance that ``quality`` is 1, for each row of ``doc_id, text``.
 
@@ -203,12 +240,17 @@ def classify(
     by the features that every text has; repeated rows are scored alike; an
     empty table gives no rows; other columns are not read.
     """
-    features = stored(featurise(docs), "quality-features")
-    known = labels.where(usable & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = fit(stored(features.join(known, "doc_id"), "quality-labelled"), sample_rows)
-
-    @F.pandas_udf("double")
-    def score(found: pd.Series) -> pd.Series:
-        return pd.Series([model.score(np.frombuffer(f, np.int32)) for f in found], dtype=float)
+    texts = docs.select("doc_id", "text")
+    known = labels.where(usable & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    known = stored(known, "quality-labels").where("label >= 0")
+    with filtered_joins(docs.sparkSession):
+        labelled = stored(featurise(texts.join(known, "doc_id")), "quality-labelled")
+    model = fit(labelled, sample_rows, sample_bytes)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in batches:
+            found = [model.score(features(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    return features.select("doc_id", score("features").alias("score"))
+    return texts.mapInArrow(score, "doc_id long, score double")

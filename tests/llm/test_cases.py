@@ -187,6 +187,24 @@ def test_quality(spark, docs, rows):
     assert len(quality.classify(docs, labels.limit(0), F.lit(True)).collect()) == rows
 
 
+def test_quality_tells_wordings_of_one_shape_apart(spark, make):
+    wordings = "the quick brown fox jumps over the lazy dog every morning", "buy cheap pills now and win more money from our casino"
+    docs = make([(i, wordings[i % 2]) for i in range(400)] + [(400, wordings[0] * 20_000), (401, wordings[1] + " today")])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(300)] + [(400, 1)], "doc_id long, quality int")
+    found = {r.doc_id: r.score for r in quality.classify(docs, labels, F.col("doc_id") < 401).collect()}
+    assert min(found[i] for i in range(0, 401, 2)) > 0.7 and max(found[i] for i in range(1, 402, 2)) < 0.3
+
+
+def test_quality_sample_is_bounded_by_bytes(spark, make):
+    docs = make([(i, f"word{i} " * 5) for i in range(50)])
+    labelled = quality.featurise(docs.select("doc_id", "text", F.col("doc_id").cast("int").alias("label")))
+    sizes = {r.label: len(r.features) for r in labelled.collect()}
+    sample = quality.bounded_sample(labelled, 50, 400)
+    assert 0 < len(sample) < 50 and sum(sizes[x] for x in sample["label"]) <= 400
+    assert len(quality.bounded_sample(labelled, 7, 1 << 20)) == 7
+    assert quality.bounded_sample(labelled, 50, 0).empty
+
+
 def test_hilbert_curve_moves_one_cell_at_a_time(spark):
     for n, bits in ((2, 4), (3, 3)):
         grid = spark.range(1 << n * bits)
