@@ -111,7 +111,11 @@ FROM marked GROUP BY doc_id
 
 @query
 def op5_secret_scan(spark, sf_dir):
-    found = secrets.scan_documents(read_table(spark, sf_dir, "documents"))
+    docs = read_table(spark, sf_dir, "documents")
+    # Each document comes in one of two deliveries; the rules change in between.
+    second = F.coalesce(fold("doc_id", 2) == 1, F.lit(False))
+    deliveries = [(docs.where(~second), secrets.EARLIER_RULES), (docs.where(second), secrets.RULES)]
+    found = secrets.scan_versions(deliveries, secrets.BlobLedger(spark))
 
     def shown(kept: Column) -> Column:
         return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -196,7 +200,8 @@ def op9_hilbert_shards(spark, sf_dir):
 def op10_lm_scores(spark, sf_dir):
     held_out = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
     scored = lm.score_documents(read_table(spark, sf_dir, "documents"), learn=~held_out)
-    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+    rest = [c for c in scored.columns if c not in ("doc_id", "learned")]
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), *rest)
 
 
 def planted_repeats(doc_id: int, n: int) -> np.ndarray | None:
