@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import WordHashes, filtered_joins, stored, words
+from panelmill.llm.common import filtered_joins, stored
 
 # One bucket in ``1 << BUCKET_BITS`` for each shape feature; as many again for each word feature.
 BUCKET_BITS = 18
@@ -21,79 +22,123 @@ SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 32 << 20
 # An n-gram is indicated once for each share of the text's n-grams that it reaches.
 SHARES = (0.0, 0.02, 0.1, 0.3)
-_MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_WHITE = re.compile(r"\s")
 
 
-def word_shape(word: str) -> str:
-    """Runs of upper case, lower case, other letters and digits as one sign each; any other sign stays, once per run."""
-    if word.isalpha():
-        if word.islower():
-            return "a"
-        if word[0].isupper() and word[1:].islower():
-            return "Aa"
-    signs = []
-    for c in word:
-        sign = "A" if c.isupper() else "a" if c.islower() else "x" if c.isalpha() else "0" if c.isdigit() else c
-        if not signs or signs[-1] != sign:
-            signs.append(sign)
-    return "".join(signs)
+_SPACE, _UNKNOWN = -1, -2
+_POWERS = np.cumprod(np.full(1 << 12, _MULTIPLY, np.uint64))
+_BLOCK = 1 << 18
 
 
-class ShapeHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        value = self[word] = zlib.crc32(word_shape(word).encode())
-        return value
+def sign(character: str) -> int:
+    """What a character is in a shape: upper case, lower case, other letter, digit, or itself; white space is none."""
+    if character.isspace():
+        return _SPACE
+    for is_kind, kind in ((str.isupper, "A"), (str.islower, "a"), (str.isalpha, "x"), (str.isdigit, "0")):
+        if is_kind(character):
+            return ord(kind)
+    return ord(character)
 
 
-def buckets(grams: np.ndarray, kind: int) -> np.ndarray:
-    """Bucket of each n-gram hash among its ``kind`` (below 16)."""
-    return (((grams * np.uint64(16) + np.uint64(kind)) * _MULTIPLY) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+class Words:
+    """Hashes of the words of texts, lower-cased, and of their shapes: the signs of a word, equal neighbours as one.
 
+    Works on whole arrays of code points; signs and lower-case forms of
+    characters are kept in tables that fill up as characters are met.
+    """
 
-def shape_features(text: str | None, known: ShapeHashes | None = None) -> np.ndarray:
-    """Distinct feature buckets of a text: shape n-grams of one to three words at each share that they reach.
-
-    A word that repeats the one before it has a shape of its own.  Bucket 0 is
-    set for every text.
+    def __init__(self) -> None:
+        self.signs = np.full(sys.maxunicode + 1, _UNKNOWN, np.int32)
+        self.lower = np.arange(sys.maxunicode + 1, dtype=np.int32)
+
+    def _block(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        signs = self.signs[points]
+        if (signs == _UNKNOWN).any():
+            for point in np.unique(points[signs == _UNKNOWN]).tolist():
+                self.signs[point] = sign(chr(point))
+                lower = chr(point).lower()
+                self.lower[point] = ord(lower) if len(lower) == 1 else point
+            signs = self.signs[points]
+        (at,) = np.nonzero(signs != _SPACE)
+        first = np.ones(len(at), bool)
+        first[1:] = at[1:] != at[:-1] + 1
+        signs = signs[at]
+        run = first.copy()
+        run[1:] |= signs[1:] != signs[:-1]
+        return _hashes(signs[run], first[run]), _hashes(self.lower[points[at]], first)
+
+    def look_up(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Shape and word hashes of the words of a text; a word that repeats the one before it has shape 1."""
+        text, start, found = text or "", 0, []
+        while start < len(text):
+            # Long texts go block by block, cut at white space.
+            space = _WHITE.search(text, start + _BLOCK) if len(text) - start > _BLOCK else None
+            end = space.start() if space else len(text)
+            found.append(self._block(text[start:end]))
+            start = end
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        shapes, hashes = (np.concatenate(part) for part in zip(*found))
+        shapes[1:][hashes[1:] == hashes[:-1]] = 1
+        return shapes, hashes
+
+
+def _hashes(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One hash per word of the symbols of all words, ``first`` marking where a word begins."""
+    (starts,) = np.nonzero(first)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = np.append(starts[1:], len(symbols)) - starts
+    place = np.arange(len(symbols)) - np.repeat(starts, lengths)
+    weights = _POWERS[place & (len(_POWERS) - 1)]
+    # A symbol is mixed before it is weighted, and so is the sum.
+    mixed = (symbols.astype(np.uint64) + np.uint64(1)) * _MIX
+    sums = np.add.reduceat((mixed ^ (mixed >> np.uint64(29))) * weights, starts)
+    return (sums ^ (sums >> np.uint64(32))) * _MULTIPLY
+
+
+def buckets(grams: list[np.ndarray], kinds: list[int]) -> np.ndarray:
+    """Distinct buckets of n-gram hashes, each array of its own kind (below 16)."""
+    kind = np.repeat(np.array(kinds, np.uint64), [len(g) for g in grams])
+    mixed = (np.concatenate(grams) * np.uint64(16) + kind) * _MULTIPLY
+    return np.unique((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+
+
+def shape_features(shapes: np.ndarray) -> np.ndarray:
+    """Distinct feature buckets: shape n-grams of one to three words at each share of the text that they reach.
+
+    Bucket 0 is set for every text.
     """
-    split = (text or "").split()
-    if not split:
-        return np.zeros(1, np.int32)
-    known = ShapeHashes() if known is None else known
-    shapes = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
-    same = np.fromiter((a == b for a, b in zip(split, split[1:])), bool, len(split) - 1)
-    shapes[1:][same] = np.uint64(1)
-    grams, found = shapes, []
+    grams, found, kinds = shapes, [], []
     for n in range(1, 4):
         if n > 1:
-            if len(grams) < 2:
-                break
             grams = (grams[:-1] * _MULTIPLY) ^ shapes[n - 1 :]
+        if not len(grams):
+            break
         distinct, counts = np.unique(grams, return_counts=True)
         for level, share in enumerate(SHARES):
-            found.append(buckets(distinct[counts >= share * len(grams)], 4 * level + n))
-    return np.unique(np.concatenate([[0], *found])).astype(np.int32)
+            found.append(distinct[counts >= share * len(grams)] if share else distinct)
+            kinds.append(4 * level + n)
+    return np.union1d(np.zeros(1, np.int32), buckets(found, kinds)) if found else np.zeros(1, np.int32)
 
 
-def word_features(text: str | None, known: WordHashes | None = None) -> np.ndarray:
-    """Distinct feature buckets of a text: its words and pairs of neighbouring words, A-Z lower-cased."""
-    split = words(text)
-    known = WordHashes() if known is None else known
-    hashes = np.fromiter(map(known.__getitem__, split), np.uint64, len(split))
+def word_features(hashes: np.ndarray) -> np.ndarray:
+    """Distinct feature buckets: words and pairs of neighbouring words, lower-cased."""
     pairs = (hashes[:-1] * _MULTIPLY) ^ hashes[1:]
-    return np.unique(np.concatenate([buckets(hashes, 1), buckets(pairs, 2)])).astype(np.int32)
+    return buckets([hashes, pairs], [1, 2])
 
 
 class Features:
     """Feature buckets of texts: those of shapes first, then those of words."""
 
     def __init__(self) -> None:
-        self.shapes, self.words = ShapeHashes(), WordHashes()
+        self.known = Words()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return np.concatenate([shape_features(text, self.shapes), word_features(text, self.words) + (1 << BUCKET_BITS)])
+        shapes, hashes = self.known.look_up(text)
+        return np.concatenate([shape_features(shapes), word_features(hashes) + np.int32(1 << BUCKET_BITS)])
 
 
 def featurise(docs: DataFrame) -> DataFrame:

@@ -218,6 +218,21 @@ def test_quality_tells_wordings_of_one_shape_apart(spark, make):
     assert min(found[i] for i in range(0, 401, 2)) > 0.7 and max(found[i] for i in range(1, 402, 2)) < 0.3
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    text = "The  ÉTÉ été\tthe THE a1 a22 \u2003 x-- x- 中文 😀😀 " + "long" * 3000 + " the the"
+    words = text.split()
+    shapes, hashes = quality.Words().look_up(text)
+    alone = [[int(h[0]) for h in quality.Words().look_up(w)] for w in words]
+    assert hashes.tolist() == [h for _, h in alone]
+    again = [i > 0 and words[i].lower() == words[i - 1].lower() for i in range(len(words))]
+    assert shapes.tolist() == [1 if same else s for (s, _), same in zip(alone, again)]
+    shape = dict(zip(words, (s for s, _ in alone)))
+    assert shape["a1"] == shape["a22"] and shape["x--"] == shape["x-"] and shape["The"] != shape["THE"] != shape["the"]
+    assert len(set(hashes.tolist())) == len({w.lower() for w in words})
+    monkeypatch.setattr(quality, "_BLOCK", 5)
+    assert [x.tolist() for x in quality.Words().look_up(text)] == [shapes.tolist(), hashes.tolist()]
+
+
 def test_quality_sample_is_bounded_by_bytes(spark, make):
     docs = make([(i, f"word{i} " * 5) for i in range(50)])
     labelled = quality.featurise(docs.select("doc_id", "text", F.col("doc_id").cast("int").alias("label")))
