@@ -81,6 +81,53 @@ def op3_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+# Two elements of one set differ in their number of words or in one of them; words hold no spaces.
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), listed AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM worded
+), following AS (
+  SELECT doc_id, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o || ' ' || lead(word, 3) OVER o AS e
+  FROM listed WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), shingles AS (
+  SELECT doc_id, e FROM following WHERE e IS NOT NULL
+  UNION ALL
+  SELECT doc_id, array_to_string(w, ' ') FROM worded WHERE len(w) BETWEEN 1 AND 3
+), gathered AS (
+  SELECT doc_id, list_sort(list(DISTINCT e)) AS s FROM shingles GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, coalesce(s, []) AS s FROM documents LEFT JOIN gathered USING (doc_id)
+), classes AS (
+  SELECT s, len(s) AS n, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY s
+), elements AS (
+  SELECT class_id, n, unnest(s) AS e FROM classes
+), links AS (
+  SELECT a.class_id AS x, b.class_id AS y
+  FROM elements a JOIN elements b ON a.e = b.e AND a.class_id < b.class_id
+   AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.class_id, b.class_id, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), both_ways AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reached AS (
+  SELECT class_id AS x, class_id AS y FROM classes
+  UNION
+  SELECT r.x, b.y FROM reached r JOIN both_ways b ON r.y = b.x
+), components AS (
+  SELECT x, min(y) AS component_id FROM reached GROUP BY x
+), counts AS (
+  SELECT x, count(*) AS n_links FROM both_ways GROUP BY x
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(c.class_id, d.doc_id) AS class_id,
+       CAST(coalesce(l.n_links, 0) AS BIGINT) AS n_links, coalesce(k.component_id, d.doc_id) AS component_id
+FROM sets d LEFT JOIN classes c ON c.s = d.s LEFT JOIN components k ON k.x = c.class_id
+LEFT JOIN counts l ON l.x = c.class_id
+"""
+
+
 @query
 def op4_line_dedup(spark, sf_dir):
     found = lines.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -132,6 +179,47 @@ def op5_secret_scan(spark, sf_dir):
     )
 
 
+def either_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+# The same rules in a syntax where ignoring case would go beyond A-Z; quotes are doubled for SQL.
+ORACLES["op5_secret_scan"] = r"""
+WITH numbered AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT row, 'assign' AS kind, 0 AS rank, 12 AS least, string_split_regex(text, '{assign}') AS gaps,
+         regexp_extract_all(text, '{assign}') AS found, regexp_extract_all(text, '{assign}', 2) AS part FROM numbered
+  UNION ALL
+  SELECT row, 'access', 1, 18, string_split_regex(text, 'AKIA[A-Z0-9]+'),
+         regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM numbered
+  UNION ALL
+  SELECT row, 'hex', 2, 16, string_split_regex(text, '[0-9a-f]{{16,}}'),
+         regexp_extract_all(text, '[0-9a-f]{{16,}}'), regexp_extract_all(text, '[0-9a-f]{{16,}}') FROM numbered
+), each AS (
+  SELECT row, kind, rank, least, unnest(gaps[1:len(found)]) AS gap, unnest(found) AS found, unnest(part) AS part,
+         generate_subscripts(found, 1) AS i
+  FROM cut WHERE len(found) > 0
+), placed AS (
+  SELECT *, CAST(sum(length(gap) + length(found)) OVER (PARTITION BY row, rank ORDER BY i) AS BIGINT) AS stop FROM each
+), kept AS (
+  SELECT row, kind, rank, stop - length(found) AS start, stop FROM placed WHERE length(part) >= least
+), shown AS (
+  SELECT row, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+         count(*) FILTER (kind = 'hex') AS n_hex,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM numbered LEFT JOIN shown USING (row)
+""".format(
+    assign="("
+    + "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
 @query
 def op6_top_k(spark, sf_dir):
     vectors = read_table(spark, sf_dir, "embeddings").select(
