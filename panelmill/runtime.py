@@ -63,18 +63,23 @@ def materialize(df: DataFrame, label: str = "table", *, compression: str | None
     stays until ``release``, the end of the ``scope`` that it was written in, or
     (without one) as long as the folder.
     """
+    path = write_once(df, label, "parquet", **({"compression": compression} if compression else {}))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_once(df: DataFrame, label: str, kind: str, **options: str) -> str:
+    """Write ``df`` to a fresh path as files of a format of Spark's; they go when ``materialize`` says."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write.option("compression", compression) if compression else df.write
     with _shuffles_removed(spark):
-        writer.parquet(path)
+        df.write.format(kind).options(**options).save(path)
     folder = path.rsplit("/", 1)[1]
     with _LOCK:
         _READERS[folder] = 1
     scope_now = _SCOPE.get()
     if scope_now is not None:
         scope_now.folders.add(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 @contextmanager
