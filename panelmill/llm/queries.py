@@ -247,10 +247,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 @query
 def op7_token_files(spark, sf_dir):
-    images = token_files.write_token_files(
+    folder = token_files.write_token_files(
         read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2
     )
-    return token_files.read_token_files(images).drop("ids")
+    return token_files.read_token_files(spark, folder).drop("ids")
 
 
 @query

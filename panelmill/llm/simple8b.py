@@ -14,6 +14,8 @@ words                 selector in the top 4 bits, values from the lowest bit up
 escapes               ids of more than 60 bits, as unsigned 64-bit values
 ====================  =====================================================
 
+A file is any number of images, each with a line feed behind it.
+
 Selector ``s`` below 14 holds ``60 // WIDTHS[s]`` values of ``WIDTHS[s]`` bits.
 Selector 15 stands for one escaped id; its lower bits are the escape's number in
 the block.  No word crosses a block, so any block can be decoded alone, all its
@@ -23,6 +25,7 @@ words of one selector at a time.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -118,7 +121,7 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if magic != MAGIC or version != 1:
         raise ValueError("not a Simple-8b image of version 1")
     at = _HEAD.size
-    null = image[at : at + docs]
+    null = bytes(image[at : at + docs])
     at += docs
 
     def take(count: int, kind: str) -> np.ndarray:
@@ -134,3 +137,29 @@ def read_image(image: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     if len(ids) != n:
         raise ValueError("damaged Simple-8b image")
     return [None if gone else d for d, gone in zip(names, null, strict=True)], lengths, ids
+
+
+def join_images(images: list[bytes]) -> bytes:
+    """A file: images one after the other, each with a line feed behind it."""
+    return b"".join(image + b"\n" for image in images)
+
+
+def split_images(content: bytes) -> Iterator[memoryview]:
+    """The images of a file; one that is cut short, or not followed by a line feed, is an error."""
+    at, whole = 0, memoryview(content)
+    while at < len(whole):
+        if len(whole) - at < _HEAD.size:
+            raise ValueError("damaged Simple-8b file")
+        _, _, _, docs, _, blocks, n_escapes = _HEAD.unpack_from(whole, at)
+        last_offset = at + _HEAD.size + 17 * docs + 8 * blocks
+        words = int(np.frombuffer(whole[last_offset : last_offset + 8], "<u8")[0]) if last_offset + 8 <= len(whole) else 0
+        end = last_offset + 8 + 8 * (blocks + 1) + 8 * words + 8 * n_escapes
+        if end >= len(whole) or whole[end] != 10:
+            raise ValueError("damaged Simple-8b file")
+        yield whole[at:end]
+        at = end + 1
+
+
+def ids_in(image: bytes | memoryview) -> int:
+    """How many ids an image holds, by its head."""
+    return _HEAD.unpack_from(image)[4]

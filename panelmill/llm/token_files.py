@@ -1,4 +1,4 @@
-"""Token-id output: whole texts as Simple-8b file images in ascending document order."""
+"""Token-id output: whole texts as Simple-8b files in ascending document order."""
 
 from __future__ import annotations
 
@@ -7,45 +7,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelmill.llm.common import stored
-from panelmill.llm.simple8b import read_image, write_image
+from panelmill.llm.simple8b import ids_in, read_image, split_images, write_image
 from panelmill.llm.tokens import Encoder, encoded
+from panelmill.runtime import attach, write_once
 
 IMAGE_IDS = 131_072
-IMAGES = "part int, local_start long, n_docs long, n_ids long, image binary"
+FILE_IMAGES = 32
+NUMBERS = ("part", "file")
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, image_ids: int = IMAGE_IDS) -> DataFrame:
-    """Encode ``doc_id, text`` and store file images, in ascending document order.
+def write_token_files(
+    docs: DataFrame, tokenizer: str, end_id: int, image_ids: int = IMAGE_IDS, file_images: int = FILE_IMAGES
+) -> str:
+    """Encode ``doc_id, text`` and write Simple-8b files, in ascending document order; returns their folder.
 
     Documents are sorted by range, so each task holds a run of them and cuts it
     into images of whole documents (about ``image_ids`` ids; a longer document
-    has an image of its own).  A null or empty text is the end id alone, a null
-    ``doc_id`` sorts first, repeated rows stay and follow each other, an empty
-    table gives no image.  Other columns are not read.
-
-    Each row of the stored table is one complete file image; Spark's commit
-    protocol keeps it whole when a task is run again.
+    has an image of its own).  A file holds up to ``file_images`` images, a line
+    feed behind each; files are ordered by the two numbers in their names.  A
+    null or empty text is the end id alone, a null ``doc_id`` sorts first,
+    repeated rows stay and follow each other, an empty table gives no image.
+    Other columns are not read.
+
+    Spark's text writer copies the bytes of its values as they are, so the
+    executors write the files through its commit protocol, which keeps them
+    whole when a task is run again.
     """
     narrow = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     run = narrow.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
-        names, lengths, held, size, start = [], [], [], 0, 0
+        encoder = Encoder(tokenizer)
+        names, lengths, held, size = [], [], [], 0
 
         def image() -> pa.RecordBatch:
-            ids = np.concatenate(held)
-            row = [part, start, len(names), len(ids), write_image(names, lengths, ids)]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            columns = [pa.array([v], k) for v, k in zip(row, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(columns, ["part", "local_start", "n_docs", "n_ids", "image"])
+            found = write_image(names, lengths, np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], ["image"])
 
         for batch in batches:
             texts = encoded(encoder, batch.column("text"))
@@ -56,34 +58,51 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, image_ids: i
                 size += lengths[-1]
                 if size >= image_ids:
                     yield image()
-                    start += size
                     names, lengths, held, size = [], [], [], 0
         if names:
             yield image()
 
-    return stored(run.mapInArrow(encode, IMAGES), "token-files")
+    images = run.mapInArrow(encode, "image binary").select(F.col("image").cast("string"))
+    return write_once(images, "token-files", "text", lineSep="\n", maxRecordsPerFile=str(file_images))
+
 
+def placed_images(start: int, content: bytes) -> Iterator[tuple[int, memoryview]]:
+    """The images of a file that begins with id ``start``, each with the number of its first id."""
+    for image in split_images(content):
+        yield start, image
+        start += ids_in(image)
 
-def read_token_files(images: DataFrame) -> DataFrame:
-    """Documents of stored images: ``doc_id, start, n_tokens, ids`` and the checksum of the ids.
 
-    ``start`` counts the ids of all documents before it, over all images; ``ids``
-    is binary, little-endian unsigned 32-bit.
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the files in a folder: ``doc_id, start, n_tokens, ids`` and the checksum of the ids.
+
+    ``start`` counts the ids of all documents before it, over all files, by the
+    heads of their images; ``ids`` is binary, little-endian unsigned 32-bit.  A
+    damaged file is an error.
     """
-    # One row per task that wrote images.
-    totals = images.groupBy("part").agg(F.sum("n_ids").alias("part_ids"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("part").alias("p"), F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("part_start")
-    )
-    placed = images.join(F.broadcast(offsets), F.col("part") == F.col("p")).select(
-        (F.col("part_start") + F.col("local_start")).alias("start"), "image"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
+    files = files.select(
+        *[F.regexp_extract("path", r"part-(\d+)-.*-c(\d+)[^/]*$", i + 1).cast("long").alias(n) for i, n in enumerate(NUMBERS)],
+        "content",
     )
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [sum(map(ids_in, split_images(c.as_py()))) for c in batch.column("content")]
+            columns = [*(batch.column(name) for name in NUMBERS), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*NUMBERS, "n_ids"])
+
+    # One row per file.
+    totals = files.mapInArrow(count, "part long, file long, n_ids long")
+    before = Window.orderBy(*NUMBERS).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*NUMBERS, F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
+    placed = attach(files, offsets, NUMBERS).select("start", "content")
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, image in zip(batch.column("start").to_pylist(), batch.column("image"), strict=True):
-                names, lengths, ids = read_image(image.as_py())
+            files = zip(batch.column("start").to_pylist(), batch.column("content"), strict=True)
+            for start, image in (found for at, content in files for found in placed_images(at, content.as_py())):
+                names, lengths, ids = read_image(image)
                 ends = np.cumsum(lengths)
                 flat = ids.astype("<u4")
                 parts = [flat[e - n : e].tobytes() for e, n in zip(ends, lengths, strict=True)]

@@ -2,6 +2,7 @@
 
 from collections import Counter
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +46,38 @@ def test_packing(docs, rows):
     assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
 
 
-def test_token_files(docs, rows):
-    got = token_files.read_token_files(token_files.write_token_files(docs, tokenizer("word_bpe_49k.json"), 2)).collect()
+def test_token_files(spark, docs, rows):
+    folder = token_files.write_token_files(docs, tokenizer("word_bpe_49k.json"), 2)
+    got = token_files.read_token_files(spark, folder).collect()
     assert len(got) == rows
     assert sorted(r.start for r in got) == list(np.cumsum([0, *[r.n_tokens for r in sorted(got, key=lambda r: r.start)]])[:-1])
     names = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert names == sorted(names, key=lambda d: -1 if d is None else d)
 
 
+def test_token_files_hold_the_bytes_of_the_format(spark, make):
+    docs = make([(i, "some words, é 中 " * (i % 7)) for i in range(300)])
+    folder = token_files.write_token_files(docs.repartition(3), tokenizer("word_bpe_49k.json"), 2, image_ids=100, file_images=4)
+    files = sorted(Path(folder.removeprefix("file:")).glob("part-*"))
+    images = [[bytes(i) for i in simple8b.split_images(f.read_bytes())] for f in files]
+    assert max(map(len, images)) == 4 and len(files) > 3
+    assert all(simple8b.join_images(i) == f.read_bytes() for i, f in zip(images, files))
+    stored = [simple8b.read_image(i) for own in images for i in own]
+    assert [d for names, _, _ in stored for d in names] == list(range(300))
+    got = sorted(token_files.read_token_files(spark, folder).collect(), key=lambda r: r.doc_id)
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert b"".join(bytes(r.ids) for r in got) == np.concatenate([ids for _, _, ids in stored]).astype("<u4").tobytes()
+
+
+def test_damaged_token_files_are_errors():
+    content = simple8b.join_images([simple8b.write_image([1, None], [2, 1], np.array([5, 1 << 31, 7], np.uint32))] * 2)
+    assert [simple8b.read_image(i)[2].tolist() for i in simple8b.split_images(content)] == [[5, 1 << 31, 7]] * 2
+    assert list(simple8b.split_images(b"")) == []
+    for damaged in (content[:-1], content[:10], content[:-9] + b"\n", content + b"x"):
+        with pytest.raises(ValueError, match="damaged"):
+            list(simple8b.split_images(damaged))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunks_give_the_ids_of_whole_texts(name):
     from tokenizers import Tokenizer
