@@ -456,3 +456,43 @@ def test_common_subsequence_is_that_of_the_table():
         for i, x in enumerate(a):
             masks[x] = masks.get(x, 0) | 1 << i
         assert decontaminate.common_subsequence(masks, len(a), b) == best[-1, -1]
+
+
+def test_latent_space_is_that_of_all_passages(spark, make, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CORPUS_WEIGHT", 500)
+    draw = np.random.default_rng(3)
+    # More than 1,000 documents, some of more than 32 passages, and items of words of their own.
+    sizes = [*draw.integers(0, 90, 1100).tolist(), 1500, 1300]
+    texts = [" ".join(f"w{w}" for w in draw.zipf(1.5, n) % 120) for n in sizes]
+    items = [[f"i{i}" for i in range(j, j + 9)] for j in (0, 20)]
+    counts = decontaminate._word_counts(make(list(enumerate(texts))))
+    vocabulary = decontaminate._vocabulary(counts, {w.encode() for item in items for w in item})
+    assert vocabulary == Counter(w.encode() for t in texts for w in set(t.split())) | dict.fromkeys(
+        (w.encode() for item in items for w in item), 0
+    )
+    assert counts.where("word IS NULL").first()["texts"] == len(texts)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    weight = draw.random(len(number))
+    weight[:3] = 0
+    coded = decontaminate._as_features(make(list(enumerate(texts))), spark.sparkContext.broadcast(number))
+    known = [decontaminate._item(i, [number[w.encode()] for w in item], []) for i, item in enumerate(items)]
+    axes = decontaminate.latent_space(coded, known, weight, 6)
+
+    rows = [(t.split()[at : at + 32], 1.0) for t in texts for at in range(0, len(t.split()), 32)]
+    share = decontaminate.CORPUS_WEIGHT / max(len(rows), decontaminate.CORPUS_WEIGHT)
+    whole = np.zeros((len(rows) + len(items), len(number)))
+    for row, (part, factor) in zip(whole, [(p, np.sqrt(share)) for p, _ in rows] + [(i, decontaminate.ITEM_WEIGHT) for i in items]):
+        for w in part:
+            row[number[w.encode()]] += weight[number[w.encode()]]
+        row *= factor / max(np.linalg.norm(row), 1e-12)
+    best = (np.linalg.svd(whole)[1][:6] ** 2).sum()
+    assert axes.shape == (len(number), 6) and np.allclose(axes.T @ axes, np.eye(6), atol=1e-4)
+    assert (np.linalg.norm(whole @ axes, axis=0) ** 2).sum() > 0.999 * best
+
+
+def test_items_by_bits():
+    items = [decontaminate._item(0, [0, 7, 8], []), decontaminate._item(1, [9, 1], [])]
+    texts = np.array([0, 7, -1, 9, 9, 8], "<i4")
+    bits = decontaminate._word_bits(items, 10)
+    held = decontaminate._held_words(bits, np.array([0, 1, 0, 1]), texts, np.array([0, 0, 3, 3]), np.array([3, 3, 6, 6]))
+    assert held.tolist() == [2, 0, 1, 2]
