@@ -20,6 +20,7 @@ BUCKET_BITS = 18
 BUCKETS = 2 << BUCKET_BITS
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 32 << 20
+SLOT_BITS = 12  # of the hashes that the sample is drawn by
 # An n-gram is indicated once for each share of the text's n-grams that it reaches.
 SHARES = (0.0, 0.02, 0.1, 0.3)
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -180,8 +181,7 @@ def dual_descent(
     so that each has half of the cost.
     """
     weights, alpha = np.zeros(len(scale)), np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    norms = np.array([v @ v for v in values])
+    norms = np.array([scale[r] @ scale[r] for r in rows])
     share = np.array([np.mean(labels <= 0), np.mean(labels > 0)])
     most = cost * 0.5 / np.maximum(share[(labels > 0).astype(int)], 1e-9)
     order = np.random.default_rng(seed)
@@ -190,7 +190,8 @@ def dual_descent(
         for i in order.permutation(len(rows)):
             if norms[i] == 0:
                 continue
-            y, r, v = labels[i], rows[i], values[i]
+            y, r = labels[i], rows[i]
+            v = scale[r]
             step = (1 - y * (weights[r] @ v)) / norms[i]
             new = min(max(alpha[i] + step, 0.0), most[i])
             if new != alpha[i]:
@@ -231,12 +232,23 @@ class QualityModel:
 
 
 def bounded_sample(labelled: DataFrame, sample_rows: int, sample_bytes: int) -> pd.DataFrame:
-    """The rows with the smallest hashed ids, as many as the bounds on rows and on bytes of features allow."""
-    order = [F.xxhash64("doc_id"), "doc_id", "features"]
+    """The rows with the smallest hashed ids, as many as the bounds on rows and on bytes of features allow.
+
+    Counts by leading bits of the hash tell how far to look, so no task sends
+    rows that are not wanted.
+    """
+    mark, length = F.xxhash64("doc_id"), F.octet_length("features")
+    slot = F.shiftright(mark, 64 - SLOT_BITS)
+    slots = labelled.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("rows"), F.sum(length).alias("n"))
+    slots = slots.toPandas().sort_values("slot")
+    # All slots that fit, and the first that does not.
+    full = (slots["rows"].cumsum() > sample_rows) | (slots["n"].cumsum() > sample_bytes)
+    near = labelled.where(slot <= int(slots["slot"][full].iloc[0])) if full.any() else labelled
+    order = [mark, "doc_id", "features"]
     # Lengths alone tell how many rows fit.
-    sized = labelled.orderBy(*order).limit(sample_rows).select(F.octet_length("features").alias("n")).toPandas()
+    sized = near.orderBy(*order).limit(sample_rows).select(length.alias("n")).toPandas()
     fitting = int((sized["n"].cumsum() <= sample_bytes).sum())
-    return labelled.orderBy(*order).limit(fitting).select("features", "label").toPandas()
+    return near.orderBy(*order).limit(fitting).select("features", "label").toPandas()
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:

@@ -496,3 +496,16 @@ def test_items_by_bits():
     bits = decontaminate._word_bits(items, 10)
     held = decontaminate._held_words(bits, np.array([0, 1, 0, 1]), texts, np.array([0, 0, 3, 3]), np.array([3, 3, 6, 6]))
     assert held.tolist() == [2, 0, 1, 2]
+
+
+def test_quality_sample_leaves_other_rows_where_they_are(spark, make, monkeypatch):
+    docs = make([(i, f"word{i} " * (1 + i % 5)) for i in range(400)])
+    labelled = quality.featurise(docs.select("doc_id", "text", F.col("doc_id").cast("int").alias("label"))).cache()
+    every = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "features").collect()
+    sent = []
+    monkeypatch.setattr(type(labelled), "orderBy", lambda self, *c: (sent.append(self.count()), self.sort(*c))[1])
+    for rows, size in ((30, 1 << 20), (400, 1 << 20), (900, 1 << 20), (400, 3000)):
+        sample = quality.bounded_sample(labelled, rows, size)
+        fitting = np.cumsum([len(r.features) for r in every[:rows]]) <= size
+        assert sample["label"].tolist() == [r.label for r, fits in zip(every, fitting) if fits]
+        assert sent[-1] <= len(sample) + 4
