@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import WordHashes, filtered_joins, stored, words
+from panelmill.llm.common import filtered_joins, stored
 from panelmill.llm.components import components
 from panelmill.runtime import release
 
 WIDTH = 4
 PERCENT = 85
 SKETCH_BITS = 20
+BLOCK_CHARS = 1 << 18  # of texts shingled at a time
+LONG_WORD = 1 << 12
 CHUNKS = 64
 # Sets of a large component to a block, sets of small ones to a pack, elements compared at a time.
 BLOCK_SETS, PACK_SETS, COLUMNS = 512, 64, 4096
@@ -51,22 +53,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, width: int = WIDTH, known: WordHashes | None = None) -> np.ndarray:
-    """Distinct hashes of the word shingles of a text, ascending; a shorter text is one shingle, an empty one none.
+# A random number for each byte, the same for both cases of a letter and none for white space.
+_BYTES = _mix(_mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _MULTIPLY) * _MULTIPLY)
+_BYTES[65:91] = _BYTES[97:123]
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_BYTES[_SPACE] = 0
+_POWERS = np.cumprod(np.full(LONG_WORD, 0x9FB21C651E98DF25, np.uint64))
 
-    ``known`` remembers the hashes of words from one text to the next.
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and how many words each text has.
+
+    A word's hash is a sum over its bytes, weighted by place; words beyond
+    ``LONG_WORD`` bytes are hashed one by one.
     """
-    found = words(text)
-    if not found:
-        return np.zeros(0, np.uint64)
-    known = WordHashes() if known is None else known
-    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
-    if len(hashes) < width:
-        return np.array([xxhash.xxh3_64_intdigest(hashes.tobytes(), seed=len(hashes))], np.uint64)
-    grams = hashes[: len(hashes) - width + 1]
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    data = b" ".join(raw)
+    points = np.frombuffer(data, np.uint8)
+    space = _SPACE[points]
+    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+    edges = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+    n = np.diff(np.searchsorted(starts, edges))
+    if not len(starts):
+        return np.zeros(0, np.uint64), n
+    # White space behind a word adds nothing.
+    lengths = np.diff(starts, append=len(points))
+    place = np.arange(starts[0], len(points)) - np.repeat(starts, lengths)
+    terms = _BYTES[points[starts[0] :]] * _POWERS[place & (LONG_WORD - 1)]
+    hashes = _mix(np.add.reduceat(terms, starts - starts[0]) * _MULTIPLY)
+    for i in np.flatnonzero(lengths > LONG_WORD).tolist():
+        word = data[starts[i] : starts[i] + lengths[i]].rstrip().lower()
+        if len(word) > LONG_WORD:
+            hashes[i] = xxhash.xxh3_64_intdigest(word)
+    return hashes, n
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """Distinct hashes of the word shingles of a text, ascending; a shorter text is one shingle, an empty one none."""
+    return next(all_shingles([text], width))
+
+
+def all_shingles(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """The shingles of each text in turn, hashed over the bytes of many texts at once."""
+    ends = np.cumsum([len(t or "") for t in texts])
+    low = 0
+    while low < len(texts):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+        yield from _block_shingles(texts[low:high], width)
+        low = high
+
+
+def _block_shingles(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    hashes, counts = word_hashes(texts)
+    # Shingles across the end of a text are left out below.
+    span = max(0, len(hashes) - width + 1)
+    grams = hashes[:span]
     for j in range(1, width):
-        grams = _mix(grams * _MULTIPLY) ^ hashes[j : len(hashes) - width + 1 + j]
-    return np.unique(_mix(grams))
+        grams = _mix(grams * _MULTIPLY) ^ hashes[j : span + j]
+    grams = _mix(grams)
+    at = 0
+    for n in counts.tolist():
+        start = at
+        at += n
+        if n >= width:
+            found = np.sort(grams[start : at - width + 1])
+            new = np.empty(len(found), bool)
+            new[0] = True
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            yield found[new]
+        elif n:
+            yield np.array([xxhash.xxh3_64_intdigest(hashes[start:at].tobytes(), seed=n)], np.uint64)
+        else:
+            yield np.zeros(0, np.uint64)
 
 
 def least_own(n: int, percent: int) -> int:
@@ -96,10 +155,9 @@ def _sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         sizes: dict[int, int] = {}
-        held, many, known = [], 0, WordHashes()
+        held, many = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, width, known)
+            for found in all_shingles(batch.column("text").to_pylist(), width):
                 n = len(found) if len(found) < 100_000 else len(found) // 10_000 * 10_000
                 sizes[n] = sizes.get(n, 0) + 1
                 held.append(found >> np.uint64(64 - SKETCH_BITS))
@@ -156,18 +214,17 @@ def _signed(docs: DataFrame, width: int, percent: int, levels: np.ndarray, bound
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             n, digests, buckets, reach = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text, width, known)
+            for found in all_shingles(batch.column("text").to_pylist(), width):
                 size = len(found)
                 n.append(size)
                 digests.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64))
                 own, far = [], []
                 if can_link(size, percent):
                     first = size - least_own(size, percent) + 1
-                    order = np.lexsort((found, levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                    # Hashes ascend already; levels are bytes, which are sorted by counting.
+                    order = np.argsort(levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                     ordered = found[order[: first + 1]]
                     if size <= boundary:
                         i, j = np.triu_indices(len(ordered), 1)
@@ -203,9 +260,8 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            sets = [shingles(t, width, known) for t in batch.column("text").to_pylist()]
+            sets = list(all_shingles(batch.column("text").to_pylist(), width))
             ids = [int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0]) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],

@@ -498,6 +498,19 @@ def test_items_by_bits():
     assert held.tolist() == [2, 0, 1, 2]
 
 
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    draw = np.random.default_rng(8)
+    texts = [None, "", "a b", "A  b\tc", *[" ".join(f"w{w}" for w in draw.integers(0, 9, n)) for n in draw.integers(0, 40, 60)], "x"]
+    want = [jaccard.shingles(t).tolist() for t in texts]
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(jaccard, "BLOCK_CHARS", size)
+        assert [x.tolist() for x in jaccard.all_shingles(texts, 4)] == want
+    assert [len(x) for x in want[:4]] == [0, 0, 1, 1] and all(x == sorted(set(x)) for x in want)
+    for text, found in zip(texts[4:], want[4:]):
+        split = text.split()
+        assert len(found) == (len({tuple(split[i : i + 4]) for i in range(len(split) - 3)}) if len(split) > 3 else len(split) > 0)
+
+
 def test_quality_sample_leaves_other_rows_where_they_are(spark, make, monkeypatch):
     docs = make([(i, f"word{i} " * (1 + i % 5)) for i in range(400)])
     labelled = quality.featurise(docs.select("doc_id", "text", F.col("doc_id").cast("int").alias("label"))).cache()
@@ -509,3 +522,17 @@ def test_quality_sample_leaves_other_rows_where_they_are(spark, make, monkeypatc
         fitting = np.cumsum([len(r.features) for r in every[:rows]]) <= size
         assert sample["label"].tolist() == [r.label for r, fits in zip(every, fitting) if fits]
         assert sent[-1] <= len(sample) + 4
+
+
+def test_word_hashes_tell_words_apart():
+    long = "y" * (jaccard.LONG_WORD - 1)
+    texts = ["", "Ab  aB\n", None, "ba \x0cÉ é\ud800", f"{long}zq {long}qz {long} {long}zQ  "]
+    split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    hashes, n = jaccard.word_hashes(texts)
+    assert n.tolist() == [len(ws) for ws in split]
+    words = [w for ws in split for w in ws]
+    by_hash = dict(zip(hashes.tolist(), words))
+    assert len(by_hash) == len(set(words)) and [by_hash[h] for h in hashes.tolist()] == words
+    draw = np.random.default_rng(1)
+    many = {bytes(draw.integers(97, 100, draw.integers(1, 9))).decode() for _ in range(9_000)}
+    assert len(set(jaccard.word_hashes([" ".join(many)])[0].tolist())) == len(many)
