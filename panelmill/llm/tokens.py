@@ -35,6 +35,8 @@ _SIGN_RUN = r"[^\pL\pN][.,][ \n]"
 # Word files cut between a letter and any sign but an apostrophe, which may begin a contraction.  Latin letters
 # only, without the one that lower case turns into a letter and a mark: other scripts have more of that kind.
 _SIGN_BEHIND_LETTER = "([A-Za-zÀ-ÖØ-öø-įı-ɏ])([!-&(-/:-@\\[-`{-~])"
+# Letters below are letters to every version of Unicode.
+_BEYOND_LATIN = "\u0250"
 # Upper and lower case may compose with different marks.
 _MARKED = r"[A-Z]\pM"
 @cache
@@ -82,7 +84,8 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens") or [] if t["content"]]
         if added:
             self.whole += "|(?i:" + "|".join(re.escape(t) for t in added) + ")"
-        self.end = self.tokenizer.encode(_END, add_special_tokens=False).ids if self.by_word else []
+        apart = self.by_word or self.byte_level
+        self.end = self.tokenizer.encode(_END, add_special_tokens=False).ids if apart else []
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -91,9 +94,15 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in found]
 
     def _encode_words(self, keys: list[str]) -> list[bytes]:
-        """Ids of chunks of a word file, many in one text: an end mark is a token that no chunk holds."""
+        """Ids of chunks, many in one text: an end mark is a token that no chunk holds.
+
+        Byte-level files merge a mark with the signs before it, so their chunks are letters here.
+        """
         runs = [keys[at : at + 500] for at in range(0, len(keys), 500)]
-        joined = [f" {_END} ".join([*run, ""]) for run in runs]
+        if self.by_word:
+            joined = [f" {_END} ".join([*run, ""]) for run in runs]
+        else:
+            joined = [" " + f"{_END} ".join(run) + _END for run in runs]
         out = []
         for run, found in zip(runs, self._encode(joined), strict=True):
             ids = np.frombuffer(found, np.uint32)
@@ -127,10 +136,11 @@ class Encoder:
         new = [k for k in new if k not in self.older]
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
+            plain = part if self.by_word else [k for k in part if k.isalpha() and max(k) < _BEYOND_LATIN]
             if len(self.end) == 1:
-                found = self._encode_words(part)
-            else:
-                found = self._encode(part if self.by_word else [self._text_of(k) for k in part])
+                self.known.update(zip(plain, self._encode_words(plain), strict=True))
+                part = [k for k in part if k not in self.known]
+            found = self._encode(part if self.by_word else [self._text_of(k) for k in part])
             self.known.update(zip(part, found, strict=True))
         return [self.known[k] for k in keys]
 

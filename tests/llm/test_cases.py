@@ -536,3 +536,15 @@ def test_word_hashes_tell_words_apart():
     draw = np.random.default_rng(1)
     many = {bytes(draw.integers(97, 100, draw.integers(1, 9))).decode() for _ in range(9_000)}
     assert len(set(jaccard.word_hashes([" ".join(many)])[0].tolist())) == len(many)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_encoded_together_are_those_alone(name, monkeypatch):
+    encode = tokens.Encoder(tokenizer(name))
+    alone = []
+    one_by_one = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: (alone.extend(texts), one_by_one(texts))[1])
+    texts = ["Straße d\u2019été ɐx ŋɡ word wörd WORD. x2 it's naïve, e\u0301t\u00e9 日本 a\u0250b", "The word, the wörd\nword\x04 word", "z" * 300 + " y"]
+    got = encode(pa.array(texts))
+    assert [x.tolist() for x in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {" word", " wörd", "word", "wörd"} & set(alone)
