@@ -548,3 +548,22 @@ def test_words_encoded_together_are_those_alone(name, monkeypatch):
     got = encode(pa.array(texts))
     assert [x.tolist() for x in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert not {" word", " wörd", "word", "wörd"} & set(alone)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_letters_and_signs_go_to_the_model_alone(name, monkeypatch):
+    encode = tokens.Encoder(tokenizer(name))
+    alone = []
+    one_by_one = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda texts: (alone.extend(texts), one_by_one(texts))[1])
+    plain = ["", "Über&&& ein Straße!\nBerg-", "\nword$$$ WORD", "Les été\n(word) (x", "ÀÖØöøıɏ ñandú, end. "]
+    every = [chr(c) for c in range(0x20, 0x250)]
+    draw = np.random.default_rng(5)
+    mixed = ["".join(draw.choice(["a", "é", "Q", " ", "'", ".", "!", "\n", "7", "\u0130", "\u00b5", "s", "\x05"], 12)) for _ in range(3_000)]
+    for texts in (plain, [f"{c} x{c} {c}y x{c}y.{c}" for c in every], mixed, [" ".join(every[65:]) * 3]):
+        got = encode(pa.array(texts))
+        assert [x.tolist() for x in got] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        if texts is plain and encode.byte_level:
+            assert set(alone) <= {",", ".", ""}
+        if texts is plain and encode.by_word:
+            assert not {w for t in alone for w in t.split() if w.isalpha()}
