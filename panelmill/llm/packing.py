@@ -24,6 +24,7 @@ from panelmill.llm.tokens import Encoder, encoded
 
 CAPACITY = 1024
 RANK_ROWS = 200_000
+HELD_PIECES = 1_000
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -87,7 +88,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                 for at in range(0, len(ids), wide):
                     piece = ids[at : at + wide]
                     out.append((doc_id, at // 4, len(piece) // 4, len(ids) // 4, piece, zlib.crc32(piece)))
-                if len(out) >= 5_000:
+                if len(out) >= HELD_PIECES:
                     yield _batch(out, names)
                     out = []
             if out:

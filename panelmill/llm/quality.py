@@ -20,6 +20,7 @@ BUCKET_BITS = 18
 BUCKETS = 2 << BUCKET_BITS
 SAMPLE_ROWS = 12_000
 SAMPLE_BYTES = 32 << 20
+HELD_ROWS = 500  # of which a worker holds the features
 SLOT_BITS = 12  # of the hashes that the sample is drawn by
 # An n-gram is indicated once for each share of the text's n-grams that it reaches.
 SHARES = (0.0, 0.02, 0.1, 0.3)
@@ -147,8 +148,8 @@ def featurise(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
-            found = [features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
+        for batch in (b.slice(at, HELD_ROWS) for b in batches for at in range(0, b.num_rows, HELD_ROWS)):
+            found = [features(t.as_py()).astype("<i4").tobytes() for t in batch.column("text")]
             columns = [batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features"])
 
@@ -307,7 +308,7 @@ def classify(
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            found = [model.score(features(t)) for t in batch.column("text").to_pylist()]
+            found = [model.score(features(t.as_py())) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
 
     return texts.mapInArrow(score, "doc_id long, score double")

@@ -567,3 +567,25 @@ def test_letters_and_signs_go_to_the_model_alone(name, monkeypatch):
             assert set(alone) <= {",", ".", ""}
         if texts is plain and encode.by_word:
             assert not {w for t in alone for w in t.split() if w.isalpha()}
+
+
+def test_workers_hand_features_and_pieces_on_in_parts(monkeypatch):
+    class Table:
+        columns = ["doc_id", "label", "text"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    n = 2 * quality.HELD_ROWS + 7
+    texts = ["" if i == 5 else None if i == 6 else f"word{i} and Word" for i in range(n)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "label": pa.array([1] * n, pa.int32()), "text": texts})
+    parts = list(quality.featurise(Table())(iter([batch])))
+    assert [p.num_rows for p in parts] == [quality.HELD_ROWS, quality.HELD_ROWS, 7]
+    features = quality.Features()
+    assert [f for p in parts for f in p.column("features").to_pylist()] == [features(t).astype("<i4").tobytes() for t in texts]
+    monkeypatch.setattr(packing, "HELD_PIECES", 100)
+    cut = list(packing.cut_documents(Table(), tokenizer("byte_bpe_50k.json"), 0)(iter([batch])))
+    assert max(p.num_rows for p in cut) == 100 and [d for p in cut for d in p.column("doc_id").to_pylist()] == list(range(n))
