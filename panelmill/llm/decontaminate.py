@@ -6,11 +6,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,24 +85,48 @@ def _item(item_id: int, found: list[int], answer: list[int]) -> Item:
 # --- words --------------------------------------------------------------------
 
 
+def _flat_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts one after the other, those that ``words`` gives, and how many each text has."""
+    held = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    found, n = held.flatten(), pc.list_value_length(held).fill_null(0).to_numpy().astype(np.int64)
+    # White space at an end of a text leaves an empty part there.
+    empty = pc.equal(pc.binary_length(found), 0)
+    if pc.any(empty).as_py():
+        n -= np.bincount(pc.list_parent_indices(held).filter(empty).to_numpy(), minlength=len(n))
+        found = found.filter(pc.invert(empty))
+    return found.cast(pa.binary()).dictionary_encode(), n
+
+
 def _word_counts(docs: DataFrame) -> DataFrame:
     """``word, texts``: how many texts hold each word; the row without a word has the number of texts."""
 
-    def table(counts: Counter) -> pa.RecordBatch:
-        columns = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["word", "texts"])
+    def counted(texts: pa.Array) -> pa.Table:
+        found, n = _flat_words(texts)
+        many = max(len(found.dictionary), 1)
+        key = np.sort(np.repeat(np.arange(len(n)), n) * many + found.indices.to_numpy())
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        counts = np.bincount(key[first] % many, minlength=many)[: len(found.dictionary)]
+        return pa.table({"word": found.dictionary, "texts": counts})
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("texts", "sum")])
+        return pa.table({"word": sums["word"], "texts": sums["texts_sum"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, texts = Counter(), 0
+        held, rows, texts = [], 0, 0
         for batch in batches:
             texts += batch.num_rows
-            for text in batch.column("text").to_pylist():
-                counts.update(set(words(text)))
-                if len(counts) > HELD_WORDS:
-                    yield table(counts)
-                    counts = Counter()
-        counts[None] = texts
-        yield table(counts)
+            held.append(counted(batch.column("text")))
+            rows += held[-1].num_rows
+            if rows > HELD_WORDS:
+                held = [merged(held)]
+                rows = held[0].num_rows
+                if rows > HELD_WORDS:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from merged(held).to_batches()
+        yield pa.RecordBatch.from_pydict({"word": pa.array([None], pa.binary()), "texts": pa.array([texts], pa.int64())})
 
     found = docs.select("text").mapInArrow(run, "word binary, texts long")
     return stored(found.groupBy("word").agg(F.sum("texts").alias("texts")), "word-counts")
@@ -122,14 +147,15 @@ def _as_features(docs: DataFrame, lookup: Broadcast) -> DataFrame:
     """``doc_id, n, features``: the number of words of each text and their features, -1 for none, as 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = lookup.value.get
+        known = pa.array(list(lookup.value), pa.binary())
+        numbers = np.append(np.fromiter(lookup.value.values(), "<i4"), np.int32(-1))
         for batch in batches:
-            n, held = [], []
-            for text in batch.column("text").to_pylist():
-                found = words(text)
-                n.append(len(found))
-                held.append(np.fromiter(map(find, found, repeat(-1)), "<i4", len(found)).tobytes())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(held, pa.binary())]
+            found, n = _flat_words(batch.column("text"))
+            place = pc.index_in(found.dictionary, known).fill_null(len(known)).to_numpy()
+            features = numbers[place][found.indices.to_numpy()]
+            ends = np.append(0, np.cumsum(4 * n)).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(features)])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), held]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "features"])
 
     coded = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, features binary")
@@ -359,7 +385,7 @@ def _search(
     best: dict[tuple[int, int], tuple] = {}
     for lo in range(0, len(passages), 16_384):
         cosine = passages[lo : lo + 16_384] @ wanted
-        near, item = np.nonzero(cosine >= min_cosine)
+        near, item = np.divmod(np.flatnonzero(cosine >= min_cosine), len(known))
         for part in range(0, len(near), 8192):
             p, i = near[part : part + 8192], item[part : part + 8192]
             d = owner[lo + p]

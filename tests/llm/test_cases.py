@@ -589,3 +589,39 @@ def test_workers_hand_features_and_pieces_on_in_parts(monkeypatch):
     monkeypatch.setattr(packing, "HELD_PIECES", 100)
     cut = list(packing.cut_documents(Table(), tokenizer("byte_bpe_50k.json"), 0)(iter([batch])))
     assert max(p.num_rows for p in cut) == 100 and [d for p in cut for d in p.column("doc_id").to_pylist()] == list(range(n))
+
+
+def test_words_of_many_texts_at_once(spark, make, monkeypatch):
+    texts = ["a\x1cB c\x0bd\x0c e \r\n\tF", "", "  \n", "\x85x\xa0y É ä Z", "z a A", " a  b ", None, "w " * 3_000 + "z"]
+    split = [decontaminate.words(t) for t in texts]
+    found, n = decontaminate._flat_words(pa.array(texts, pa.string()))
+    assert found.to_pylist() == [w for part in split for w in part] and n.tolist() == [len(part) for part in split]
+    found, n = decontaminate._flat_words(pa.array([None, "", " "], pa.string()))
+    assert len(found) == 0 and n.tolist() == [0, 0, 0]
+
+    held = []
+
+    class Table:
+        def mapInArrow(self, run, _):
+            held.append(run)
+            return self
+
+        select = groupBy = agg = lambda self, *_: self
+
+    monkeypatch.setattr(decontaminate, "stored", lambda df, label: df)
+    # Texts are not split one by one.
+    monkeypatch.setattr(decontaminate, "words", None)
+    number = {b"a": 2, b"z": 0, "É".encode(): 1}
+    decontaminate._word_counts(Table())
+    decontaminate._as_features(Table(), spark.sparkContext.broadcast(number))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": range(len(p)), "text": pa.array(p, pa.string())}) for p in (texts[:5], texts[5:], [])]
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "HELD_WORDS", most)
+        counts = Counter()
+        for part in held[0](iter(batches)):
+            for word, many in zip(*(c.to_pylist() for c in part.columns)):
+                counts[word] += many
+        assert counts == Counter(w for part in split for w in set(part)) + Counter({None: len(texts)})
+    coded = [row for part in held[1](iter(batches)) for row in part.to_pylist()]
+    assert [r["n"] for r in coded] == [len(part) for part in split]
+    assert [np.frombuffer(r["features"], "<i4").tolist() for r in coded] == [[number.get(w, -1) for w in part] for part in split]
