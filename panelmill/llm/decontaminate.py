@@ -31,6 +31,7 @@ ITEM_WEIGHT = 4.0
 CORPUS_WEIGHT = 10_000  # passages; what all passages of the documents weigh together, if there are more
 HELD_WORDS = 300_000  # counted by a task before it reports them
 FIT_WORDS = 200_000  # multiplied at a time
+QR_ROWS = 4096  # orthonormalised at a time
 ITEM_BLOCK = 4096
 ITEM_BYTES = 8 << 20
 MIN_COSINE = 0.5
@@ -132,14 +133,20 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return stored(found.groupBy("word").agg(F.sum("texts").alias("texts")), "word-counts")
 
 
+def _pairs(counts: DataFrame) -> dict[bytes, int]:
+    """``word, texts`` on the driver, through Arrow: rows of Python objects take several times the memory."""
+    found = counts.select("word", "texts").toArrow()
+    return dict(zip(found["word"].to_pylist(), found["texts"].to_pylist(), strict=True))
+
+
 def _vocabulary(counts: DataFrame, own: set[bytes]) -> dict[bytes, int]:
     """In how many texts each feature occurs: all of ``own``, filled up to ``FEATURES`` by the words of most texts."""
     spark = counts.sparkSession
     rows = spark.createDataFrame([(w,) for w in sorted(own)], "word binary")
     out = dict.fromkeys(sorted(own), 0)
-    out |= {bytes(r["word"]): r["texts"] for r in counts.join(F.broadcast(rows), "word").collect()}
-    most = counts.where("word IS NOT NULL").orderBy(F.desc("texts"), "word").limit(FEATURES).collect()
-    fresh = ((bytes(r["word"]), r["texts"]) for r in most if bytes(r["word"]) not in own)
+    out |= _pairs(counts.join(F.broadcast(rows), "word"))
+    most = counts.where("word IS NOT NULL").orderBy(F.desc("texts"), "word").limit(FEATURES)
+    fresh = ((word, texts) for word, texts in _pairs(most).items() if word not in own)
     return out | dict(islice(fresh, max(0, FEATURES - len(own))))
 
 
@@ -219,9 +226,14 @@ def _add_product(out: np.ndarray, at: np.ndarray, part: np.ndarray, weight: np.n
     out[found] += sums
 
 
+def _weighted(basis: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The rows of ``basis`` times their weights, rounded to floats without a matrix of doubles between."""
+    return np.multiply(basis, weight[:, None], out=np.empty(basis.shape, np.float32), casting="unsafe")
+
+
 def _product(coded: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """``A' A basis`` for the weighted TF-IDF matrix ``A`` of all passages of all texts, one beginning where one ends."""
-    table = (basis * weight[:, None]).astype(np.float32)
+    table = _weighted(basis, weight)
     shared = coded.sparkSession.sparkContext.broadcast((weight, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +260,33 @@ def _product(coded: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndar
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "part": [total.tobytes()]})
 
     parts = coded.select("n", "features").mapInArrow(run, "chunk int, part binary")
-    rows = sorted(parts.groupBy("chunk").applyInPandas(add, "chunk int, part binary").collect())
-    if not rows:
-        return np.zeros(basis.shape)
-    return np.concatenate([np.frombuffer(r["part"]) for r in rows]).reshape(basis.shape) * weight[:, None]
+    del table
+    rows = parts.groupBy("chunk").applyInPandas(add, "chunk int, part binary").toArrow()
+    shared.destroy()
+    out = np.zeros(basis.shape)
+    places = np.array_split(out, CHUNKS)  # views
+    for chunk, part in zip(rows["chunk"].to_pylist(), rows["part"], strict=True):
+        place = places[chunk]
+        place[:] = np.frombuffer(part.as_buffer()).reshape(place.shape)
+    out *= weight[:, None]
+    return out
+
+
+def _orthonormalised(product: np.ndarray) -> np.ndarray:
+    """Writes the Q of ``product = Q R`` over ``product`` and returns R: blocks of rows first, then their factors.
+
+    The library's own form holds four more matrices of this size.
+    """
+    width = product.shape[1]
+    blocks = np.array_split(product, max(1, len(product) // max(QR_ROWS, width)))  # views
+    factors = []
+    for block in blocks:
+        block[:], factor = np.linalg.qr(block)
+        factors.append(factor)
+    turn, factor = np.linalg.qr(np.concatenate(factors))
+    for i, block in enumerate(blocks):
+        block[:] = block @ turn[i * width : (i + 1) * width]
+    return factor
 
 
 def latent_space(coded: DataFrame, items: list[Item], weight: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
@@ -271,19 +306,26 @@ def latent_space(coded: DataFrame, items: list[Item], weight: np.ndarray, rank:
     width = min(rank + OVERSAMPLE, len(weight))
     product = np.random.default_rng(seed).standard_normal((len(weight), width))
     for _ in range(1 + POWER_ROUNDS):
-        basis, _ = np.linalg.qr(product)
-        product = share * _product(coded, weight, basis)
+        # One matrix holds the product and then its basis; what is not needed goes before the next is made.
+        basis = product
+        _orthonormalised(basis)
+        product = _product(coded, weight, basis)
+        product *= share
         if held:
             own = np.zeros(product.shape)
-            _add_product(own, at, owner, weight, (basis * weight[:, None]).astype(np.float32))
-            product += ITEM_WEIGHT**2 * weight[:, None] * own
+            _add_product(own, at, owner, weight, _weighted(basis, weight))
+            own *= ITEM_WEIGHT**2 * weight[:, None]
+            product += own
+            del own
     inner = basis.T @ product
+    del basis
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     kept = values > 1e-7 * max(values[-1], 1e-12)
     if not kept.any():
         return np.zeros((len(weight), 1), np.float32)
-    axes, _, _ = np.linalg.svd(product @ (turn[:, kept] / np.sqrt(values[kept])), full_matrices=False)
-    return axes[:, :rank].astype(np.float32)
+    product = product @ (turn[:, kept] / np.sqrt(values[kept]))
+    axes, _, _ = np.linalg.svd(_orthonormalised(product))
+    return (product @ axes[:, :rank]).astype(np.float32)
 
 
 # --- search -------------------------------------------------------------------

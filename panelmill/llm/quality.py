@@ -261,7 +261,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
     fifth of them is left to the logistic curve.  With fewer than two classes
     (or a sample of one class) the score is the share of label 1, or one half.
     """
-    counts = class_counts(labelled).toPandas()
+    counts = class_counts(labelled).toArrow()  # rows of Python objects would take over 100 MB
     total = labelled.agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     positive, negative = int(total[0]), int(total[1])
     sample = bounded_sample(labelled, sample_rows, sample_bytes) if positive and negative else None
@@ -269,7 +269,8 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int =
         share = (positive + 1e-6) / (positive + negative + 2e-6)
         return QualityModel(np.zeros(BUCKETS), 1.0, float(np.log(share / (1 - share))))
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    p[counts["bucket"]], q[counts["bucket"]] = counts["positive"], counts["negative"]
+    bucket = counts["bucket"].to_numpy()
+    p[bucket], q[bucket] = counts["positive"].to_numpy(), counts["negative"].to_numpy()
     ratio = np.log((p + 1) / (positive + 2)) - np.log((q + 1) / (negative + 2))
     ratio[0] = 1.0  # the offset
     rows = [np.frombuffer(f, np.int32) for f in sample["features"]]

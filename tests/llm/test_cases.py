@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows and empty tables, for each operator."""
 
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 from pathlib import Path
@@ -625,3 +626,37 @@ def test_words_of_many_texts_at_once(spark, make, monkeypatch):
     coded = [row for part in held[1](iter(batches)) for row in part.to_pylist()]
     assert [r["n"] for r in coded] == [len(part) for part in split]
     assert [np.frombuffer(r["features"], "<i4").tolist() for r in coded] == [[number.get(w, -1) for w in part] for part in split]
+
+
+def test_fits_hold_few_matrices_on_the_driver(spark, make, monkeypatch):
+    draw = np.random.default_rng(5)
+    for shape in ((decontaminate.QR_ROWS * 3 + 5, 20), (30, 30), (7, 1)):
+        product = draw.standard_normal(shape)
+        product[:, -1] *= 1e-9
+        given = product.copy()
+        factor = decontaminate._orthonormalised(product)
+        assert np.allclose(product.T @ product, np.eye(shape[1])) and np.allclose(product @ factor, given, atol=1e-12)
+
+    class Table:
+        agg = lambda self, *_: self
+        first = lambda self: [5_000]
+
+    features, width = 20_000, decontaminate.RANK + decontaminate.OVERSAMPLE
+    weight = draw.random(features)
+    monkeypatch.setattr(decontaminate, "_product", lambda coded, weight, basis: basis * weight[:, None])
+    items = [decontaminate._item(i, list(range(i, i + 9)), []) for i in range(5)]
+    tracemalloc.start()
+    decontaminate.latent_space(Table(), items, weight, decontaminate.RANK)
+    most = tracemalloc.get_traced_memory()[1] / (8 * features * width)
+    tracemalloc.stop()
+    assert most < 4.2
+
+    # Class counts reach the driver as arrays.
+    docs = make([(i, f"{'good' if i % 2 else 'bad'} word{i}") for i in range(60)])
+    labelled = quality.featurise(docs.select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label"))).cache()
+    sent, whole = [], type(labelled).collect
+    monkeypatch.setattr(type(labelled), "collect", lambda self: (sent.append(self.columns), whole(self))[1])
+    model = quality.fit(labelled)
+    assert ["bucket", "positive", "negative"] not in sent and ["features", "label"] in sent
+    scores = [model.score(quality.Features()(t)) for t in ("good word1", "bad word2")]
+    assert scores[0] > 0.5 > scores[1]
