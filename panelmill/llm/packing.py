@@ -23,7 +23,7 @@ from panelmill.llm.common import stored
 from panelmill.llm.tokens import Encoder, encoded
 
 CAPACITY = 1024
-RANK_ROWS = 200_000
+RANK_ROWS = 8_000  # of one length that are ranked together, each with up to 4 KB of ids
 HELD_PIECES = 1_000
 
 

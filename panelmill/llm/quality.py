@@ -169,7 +169,8 @@ def class_counts(labelled: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_pydict(columns)
 
     partial = labelled.select("features", "label").mapInArrow(run, "bucket int, positive long, negative long")
-    return partial.groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    # A task has each bucket once, so adding up before the exchange would only fill memory.
+    return partial.repartition("bucket").groupBy("bucket").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
 
 
 def dual_descent(

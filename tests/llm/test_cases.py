@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeated rows and empty tables, for each operator."""
 
+import re
 import tracemalloc
 from collections import Counter
 from dataclasses import replace
@@ -660,3 +661,27 @@ def test_fits_hold_few_matrices_on_the_driver(spark, make, monkeypatch):
     assert ["bucket", "positive", "negative"] not in sent and ["features", "label"] in sent
     scores = [model.score(quality.Features()(t)) for t in ("good word1", "bad word2")]
     assert scores[0] > 0.5 > scores[1]
+
+
+def test_executors_hold_few_rows_of_pieces_and_counts(spark, make):
+    # Pieces that are ranked together are held by one task, with their ids.
+    assert packing.RANK_ROWS * 4 * packing.CAPACITY <= 32 << 20
+    n = 2 * packing.RANK_ROWS + 7
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"))
+    packed = packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
+    (length,) = [r[0] for r in packed.select("length").distinct().collect()]
+    places = {(r.sequence_id, r.offset) for r in packed.select("sequence_id", "offset").collect()}
+    each = packing.CAPACITY // length
+    assert len(places) == n and {o for _, o in places} == {length * i for i in range(each)}
+    assert {s for s, _ in places} == set(range(-(-n // each)))
+
+    # A task's counts of buckets go to the exchange as they are.
+    docs = make([(i, f"{'good' if i % 2 else 'bad'} word{i}") for i in range(60)])
+    labelled = quality.featurise(docs.select("doc_id", "text", (F.col("doc_id") % 2).cast("int").alias("label"))).cache()
+    counts = quality.class_counts(labelled)
+    shown = counts._jdf.queryExecution().sparkPlan().toString()
+    nodes = re.findall(r"HashAggregate|MapInArrow|REPARTITION_BY_COL", shown)
+    assert nodes[:4] == ["HashAggregate", "HashAggregate", "REPARTITION_BY_COL", "MapInArrow"]
+    want = Counter((int(b), r.label) for r in labelled.collect() for b in np.frombuffer(r.features, "<i4"))
+    got = {(r.bucket, k): v for r in counts.collect() for k, v in ((1, r.positive), (0, r.negative)) if v}
+    assert got == dict(want)
