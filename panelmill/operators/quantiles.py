@@ -57,8 +57,13 @@ def exact_percentiles(
     searched = {name: p for name, p in named.items() if callable(p) or 0 < p < 1}
     if searched:
         found = _searched(table.select(*groups, "_x", "_key").where("_key IS NOT NULL"), groups, searched)
-        matched = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
-        every = every.alias("every").join(found.alias("found"), matched, "left").select("every.*", *searched)
+        if keys:
+            matched = [F.col(f"every.{g}").eqNullSafe(F.col(f"found.{g}")) for g in groups]
+            every = every.alias("every").join(found.alias("found"), matched, "left").select("every.*", *searched)
+        else:
+            # One row each, which have no key to be joined by.
+            both = every.unionByName(found, allowMissingColumns=True)
+            every = both.agg(*[F.any_value(c, F.lit(True)).alias(c) for c in both.columns])
     ends = {name: F.col("_low" if p <= 0 else "_high") for name, p in named.items() if name not in searched}
     shown = [ends[n].alias(n) if n in ends else F.col(n) for n in named]
     return every.select(*[F.col(g).alias(k) for k, g in zip(keys, groups)], *alongside, *shown)
